@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litlode.llm import bpe, packing
+from litlode.llm import bpe, fingerprints, packing, simhash
 from litlode.llm.common import table
 
 #: Public vocabulary file that ops 6 and 9 take.
@@ -19,6 +19,14 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op3_simhash_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -28,7 +36,7 @@ def op9_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_best_fit_packing, op9_bpe_chunk_reuse)}
+    return {f.__name__: f for f in (op3_simhash_bit_sliced, op4_multiset_fingerprints, op6_best_fit_packing, op9_bpe_chunk_reuse)}
 
 
 def oracle_sql() -> dict[str, str]:
