@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litlode.llm import bpe, fingerprints, packing, simhash
+from litlode.llm import bpe, fingerprints, licenses, packing, simhash
 from litlode.llm.common import table
 
 #: Public vocabulary file that ops 6 and 9 take.
@@ -35,8 +35,12 @@ def op9_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_bit_sliced, op4_multiset_fingerprints, op6_best_fit_packing, op9_bpe_chunk_reuse)}
+    return {f.__name__: f for f in (op3_simhash_bit_sliced, op4_multiset_fingerprints, op6_best_fit_packing, op9_bpe_chunk_reuse, op10_license_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
