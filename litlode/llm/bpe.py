@@ -23,6 +23,7 @@ whatever their names, are not read.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,7 @@ MOST_WORDS, MOST_STORE = 400_000, 48 << 20
 SLICE_BYTES = 2 << 20
 
 _GEAR = np.random.default_rng(20240501).integers(0, 1 << 63, 256, dtype=np.uint64)
+_BLANK, _ALNUM, _UPPER = (np.array([bytes([c]) in x for c in range(256)]) for x in ([b" ", b"\t", b"\n", b"\v", b"\f", b"\r"], [bytes([c]) for c in range(128) if chr(c).isalnum()], [bytes([c]) for c in range(65, 91)]))
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -72,10 +74,31 @@ def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+def fold(data: bytes, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Fewer different words with the same encoding: A to Z lowered, and a comma or stop set off from its word.
+
+    Letters are lowered where the next character is ASCII or in U+00C0 to U+00FF, which compose
+    with no letter before them; a comma or stop between a letter or digit and white space (or an
+    end) is a pre-token of its own in any case. Bytes that may hold a special token are left alone.
+    """
+    if b"<|" in data or len(data) < 2:
+        return data, offsets
+    d = np.frombuffer(data, dtype=np.uint8)
+    after, before = np.append(d[1:], np.uint8(32)), np.insert(d[:-1], 0, 32)
+    lowered = d + (32 * (_UPPER[d] & ((after < 128) | (after == 0xC3)))).astype(np.uint8)
+    at = np.flatnonzero(((d == 44) | (d == 46)) & _BLANK[after])
+    latin = np.zeros(len(at), dtype=bool)
+    late = at >= 2
+    latin[late] = (d[at[late] - 2] == 0xC3) & (before[at[late]] != 0x97) & (before[at[late]] != 0xB7)
+    at = at[_ALNUM[before[at]] | latin]
+    return np.insert(lowered, at, 32).tobytes(), offsets + np.searchsorted(at, offsets)
+
+
 class Encoder:
     """Encodes whole texts through chunks; one for each worker and vocabulary file."""
 
     def __init__(self, path: str, decoding: bool = True) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -106,7 +129,7 @@ class Encoder:
             (plain if w.isalpha() or not w.isascii() and (t := w.decode()).isalpha() and t.lower().isalpha() else other).append(w)
         for k in range(0, len(plain), 4096):
             part = plain[k : k + 4096]
-            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(part):
                 ends, ids = ends.tolist(), ids.tobytes()
@@ -116,7 +139,7 @@ class Encoder:
                 other += part
         for k in range(0, len(other), 4096):
             part = other[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False), strict=True):
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
                 self._put(w, np.array(e.ids, dtype="<u4").tobytes())
 
     def _put(self, word: bytes, ids: bytes) -> None:
@@ -127,35 +150,14 @@ class Encoder:
     def learn(self, words: set[bytes]) -> None:
         """Make ids and token strings of ``words`` known."""
         known, (old_ids, old_toks) = self.ids, self.old
-        missing = [w for w in words if w not in known]
-        if not missing:
-            return
-        ask: set[bytes] = set()
-        made: list[tuple[bytes, bytes, bytes]] = []
-        for w in missing:
-            if w in old_ids:
+        missing = words.difference(known)
+        if old_ids:
+            for w in [w for w in missing if w in old_ids]:
                 known[w] = old_ids[w]
                 if self.decoding:
                     self.toks[w] = old_toks[w]
-                continue
-            stem, tail = w, b""
-            if b"<|" not in w:
-                # Letter case goes, and a comma or stop after an ASCII letter or digit is a pre-token of its own.
-                if w.isascii():
-                    stem = w.lower()
-                if stem[-1:] in (b".", b",") and stem[-2:-1].isalnum():
-                    stem, tail = stem[:-1], stem[-1:]
-                    if tail not in known:
-                        ask.add(tail)
-            if stem not in known:
-                ask.add(stem)
-            if stem is not w:
-                made.append((w, stem, tail))
-        self._ask(list(ask))
-        for w, stem, tail in made:
-            known[w] = known[stem] + known[tail] if tail else known[stem]
-            if self.decoding:
-                self.toks[w] = self.toks[stem] + self.toks[tail] if tail else self.toks[stem]
+                missing.discard(w)
+        self._ask(list(missing))
 
     def _word(self, word: bytes) -> tuple[bytes, bytes]:
         if word not in self.ids:
@@ -166,8 +168,7 @@ class Encoder:
         """Encode chunks and store (head, ids, tokens, tail): what stands between white space, and the two ends."""
         split = []
         for c in fresh:
-            # A..Z can be lowered first where no other letter and no special token is concerned; the ends may hold part of one.
-            words = (c.lower() if c.isascii() and b"<|" not in c else c).split()
+            words = c.split()
             if not words:
                 split.append((c, b"", [], b""))
                 continue
@@ -177,7 +178,7 @@ class Encoder:
                 continue
             tail = b"" if c[-1:].isspace() else c[len(c) - len(words.pop()) :]
             split.append((c, head, words, tail))
-        self.learn({w for _, _, words, _ in split for w in words})
+        self.learn(set().union(*(words for _, _, words, _ in split)))
         ids, toks = self.ids, self.toks
         for c, head, words, tail in split:
             if head is None:
@@ -198,6 +199,7 @@ class Encoder:
     def encode(self, data: bytes, offsets: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
         """For each text of ``data`` its ids (little-endian, 32 bits each) and its decoded text."""
         self.trim()
+        data, offsets = fold(data, offsets)
         starts, ends, docs = chunk_spans(np.frombuffer(data, dtype=np.uint8), offsets)
         chunks = [data[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
         store = self.store

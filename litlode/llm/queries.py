@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litlode.llm import bpe, fingerprints, licenses, packing, simhash
+from litlode.llm import bpe, fingerprints, licenses, packing, secrets, simhash
 from litlode.llm.common import table
 
 #: Public vocabulary file that ops 6 and 9 take.
@@ -31,6 +31,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -40,8 +44,29 @@ def op10_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_bit_sliced, op4_multiset_fingerprints, op6_best_fit_packing, op9_bpe_chunk_reuse, op10_license_automaton)}
+    return {f.__name__: f for f in (op3_simhash_bit_sliced, op4_multiset_fingerprints, op6_best_fit_packing, op7_secret_ledger, op9_bpe_chunk_reuse, op10_license_automaton)}
+
+
+def _duck_spans(kind: str, order: int, pattern: str, group: int = 0, least: int = 1) -> str:
+    """DuckDB: the spans of a rule, from the lengths of matches and of what stands between them."""
+    p = pattern.replace("'", "''")
+    return f"""
+      SELECT doc_id, {order} AS r, '{kind}' AS kind, list_sum(list_transform(list_slice(b, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), lambda x: length(x))), 0) AS s, length(m[i]) AS n, length(g[i]) AS got
+      FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+        SELECT doc_id, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {group}) AS g, regexp_split_to_array(t, '{p}') AS b FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)))
+      WHERE length(g[i]) >= {least}"""
+
+
+_OP7 = f"""
+WITH spans AS ({" UNION ALL ".join(_duck_spans(r.kind, k, r.pattern, r.group, r.least) for k, r in enumerate(secrets.RULES))}),
+named AS (SELECT doc_id, r, kind, s, concat(kind, ':', CAST(s AS BIGINT), ':', CAST(s + n AS BIGINT)) AS line FROM spans),
+byid AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    coalesce(string_agg(line, ',' ORDER BY s, r) FILTER (r < 3), '') AS base, string_agg(line, ',' ORDER BY s, r) AS spans
+  FROM named GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN byid USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_secret_ledger": _OP7}
