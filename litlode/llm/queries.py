@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litlode.llm import bpe, fingerprints, licenses, packing, secrets, simhash
+from litlode.llm import bpe, chat, fingerprints, licenses, packing, secrets, simhash
 from litlode.llm.common import table
 
 #: Public vocabulary file that ops 6 and 9 take.
@@ -19,6 +19,10 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op2_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
+
+
 def op3_simhash_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_bit_sliced, op4_multiset_fingerprints, op6_best_fit_packing, op7_secret_ledger, op9_bpe_chunk_reuse, op10_license_automaton)}
+    return {f.__name__: f for f in (op2_snapshot_collapse, op3_simhash_bit_sliced, op4_multiset_fingerprints, op6_best_fit_packing, op7_secret_ledger, op9_bpe_chunk_reuse, op10_license_automaton)}
 
 
 def _duck_spans(kind: str, order: int, pattern: str, group: int = 0, least: int = 1) -> str:
@@ -68,5 +72,17 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN byid USING (doc_id)"""
 
 
+_OP2 = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+p AS (
+  SELECT conv_id, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n, string_agg(concat(coalesce(role, chr(3)), chr(1), coalesce(text, chr(3)), chr(2)), '') OVER w AS prefix,
+    concat('<|im_start|>', coalesce(role, 'unknown'), chr(10), coalesce(text, ''), '<|im_end|>', chr(10)) AS line
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role ROWS UNBOUNDED PRECEDING)),
+alike AS (SELECT n, prefix, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE k = n GROUP BY n, prefix),
+kept AS (SELECT * FROM alike WHERE prefix NOT IN (SELECT prefix FROM p WHERE k < n))
+SELECT conv_id, (p.k - 1) // 64 AS segment, kept.n AS n_turns, n_copies, string_agg(line, '' ORDER BY k) AS text
+FROM kept JOIN p USING (conv_id) GROUP BY ALL"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_secret_ledger": _OP7}
+    return {"op2_snapshot_collapse": _OP2, "op7_secret_ledger": _OP7}
