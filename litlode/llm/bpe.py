@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from litlode.llm.common import map_batches
+
 WINDOW = 16
 MASK = (1 << 9) - 1
 LEAST_CHUNK, MOST_CHUNK = 64, 8192
@@ -148,16 +150,26 @@ class Encoder:
             self.toks[word] = b"".join([self.names[i] + b" " for i in np.frombuffer(ids, dtype="<u4").tolist()])
 
     def learn(self, words: set[bytes]) -> None:
-        """Make ids and token strings of ``words`` known."""
-        known, (old_ids, old_toks) = self.ids, self.old
-        missing = words.difference(known)
+        """Make ids and token strings known of ``words``, which are not."""
+        old_ids, old_toks = self.old
         if old_ids:
-            for w in [w for w in missing if w in old_ids]:
-                known[w] = old_ids[w]
+            for w in [w for w in words if w in old_ids]:
+                self.ids[w] = old_ids[w]
                 if self.decoding:
                     self.toks[w] = old_toks[w]
-                missing.discard(w)
-        self._ask(list(missing))
+                words.discard(w)
+        self._ask(list(words))
+
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word."""
+        ids = self.ids
+        found = list(map(ids.get, words))
+        if None in found:
+            fresh = [k for k, x in enumerate(found) if x is None]
+            self.learn({words[k] for k in fresh})
+            for k in fresh:
+                found[k] = ids[words[k]]
+        return found
 
     def _word(self, word: bytes) -> tuple[bytes, bytes]:
         if word not in self.ids:
@@ -166,27 +178,27 @@ class Encoder:
 
     def _chunks(self, fresh: list[bytes]) -> None:
         """Encode chunks and store (head, ids, tokens, tail): what stands between white space, and the two ends."""
-        split = []
+        split: list[tuple[bytes, bytes | None, int, int, bytes]] = []
+        flat: list[bytes] = []
         for c in fresh:
             words = c.split()
             if not words:
-                split.append((c, b"", [], b""))
+                split.append((c, b"", 0, 0, b""))
                 continue
-            head = b"" if c[:1].isspace() else c[: len(words.pop(0))]
-            if not words and head and len(head) == len(c):
-                split.append((c, None, [], c))
+            head = b"" if c[:1].isspace() else words[0]
+            if len(head) == len(c):
+                split.append((c, None, 0, 0, c))
                 continue
-            tail = b"" if c[-1:].isspace() else c[len(c) - len(words.pop()) :]
-            split.append((c, head, words, tail))
-        self.learn(set().union(*(words for _, _, words, _ in split)))
-        ids, toks = self.ids, self.toks
-        for c, head, words, tail in split:
-            if head is None:
-                entry = (tail, None, b"", b"")
-            else:
-                entry = (head, b"".join(map(ids.__getitem__, words)), b"".join(map(toks.__getitem__, words)) if self.decoding else b"", tail)
+            tail = b"" if c[-1:].isspace() else words.pop()  # another word than the head
+            at = len(flat)
+            flat += words[1:] if head else words
+            split.append((c, head, at, len(flat), tail))
+        ids = self._look_up(flat)
+        toks = list(map(self.toks.__getitem__, flat)) if self.decoding else []
+        for c, head, at, to, tail in split:
+            entry = (tail, None, b"", b"") if head is None else (head, b"".join(ids[at:to]), b"".join(toks[at:to]), tail)
             self.store[c] = entry
-            self.stored += len(c) + sum(map(len, filter(None, entry))) + 300
+            self.stored += len(c) + len(entry[1] or b"") + len(entry[2]) + 300
 
     def trim(self) -> None:
         if len(self.ids) > MOST_WORDS:  # words in use come back from the older store
@@ -290,7 +302,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(ids, pa.binary()), pa.array([x.decode() for x in decoded], pa.string())], names=["doc_id", "ids", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
+    return map_batches(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, ids binary, decoded string")
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -304,7 +316,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([text], pa.string())], names=["doc_id", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"doc_id {kind}, decoded string")
+    return map_batches(df.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")), run, f"doc_id {kind}, decoded string")
 
 
 def encode_digest(df: DataFrame, path: str) -> DataFrame:
