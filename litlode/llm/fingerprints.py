@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litlode.llm.bpe import text_slices
+from litlode.llm.common import map_batches
 
 EXACT, LANES, WORDS = 4, 256, 5
 #: Documents of a bucket of neighbours, about.
@@ -155,7 +156,7 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array([len(t.decode()) for t in texts], pa.int64()), pa.array(render(*paragraph_sums(texts)))], names=["doc_id", "n_chars", "fingerprint"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_chars long, fingerprint string")
+    return map_batches(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, n_chars long, fingerprint string")
 
 
 def neighbours(df: DataFrame) -> DataFrame:
@@ -187,7 +188,7 @@ def neighbours(df: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, to - at) for k in range(3)), pa.array(packed, pa.binary())], names=["bucket", "doc_id", "tie", "packed"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    own = df.select(bucket.alias("bucket"), "doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, f"bucket int, doc_id {kind}, tie long, packed binary")
+    own = map_batches(df.select(bucket.alias("bucket"), "doc_id", F.xxhash64("text").alias("tie"), "text"), run, f"bucket int, doc_id {kind}, tie long, packed binary")
     at = F.explode(F.filter(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("guest")), F.struct(guest.alias("bucket"), F.lit(1).alias("guest"))), lambda x: x["bucket"].isNotNull()))
     dealt = own.select(at.alias("at"), "doc_id", "tie", "packed").select("at.bucket", "at.guest", "doc_id", "tie", "packed")
     return dealt.repartition(len(order) or 1, "bucket").sortWithinPartitions("bucket", "guest", "doc_id", "tie")
@@ -253,7 +254,7 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
-    return neighbours(docs).mapInArrow(run, f"doc_id {kind}, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_batches(neighbours(docs), run, f"doc_id {kind}, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def edited_digest(df: DataFrame) -> DataFrame:

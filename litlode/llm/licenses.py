@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litlode.llm.bpe import text_slices
+from litlode.llm.common import map_batches
 
 # The base phrases, as asked for, and openings or notices of public licences.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -232,7 +233,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, places array<struct<start: long, label: string>>, spans array<struct<start: long, end: long, label: string, coverage: double>>"
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return map_batches(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
 
 def license_digest(df: DataFrame) -> DataFrame:

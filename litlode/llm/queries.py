@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litlode.llm import bpe, chat, fingerprints, licenses, packing, secrets, simhash
+from litlode.llm import bpe, chat, fingerprints, licenses, packing, rpforest, secrets, simhash
 from litlode.llm.common import table
 
 #: Public vocabulary file that ops 6 and 9 take.
@@ -39,6 +39,10 @@ def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpforest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -48,7 +52,7 @@ def op10_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_snapshot_collapse, op3_simhash_bit_sliced, op4_multiset_fingerprints, op6_best_fit_packing, op7_secret_ledger, op9_bpe_chunk_reuse, op10_license_automaton)}
+    return {f.__name__: f for f in (op2_snapshot_collapse, op3_simhash_bit_sliced, op4_multiset_fingerprints, op6_best_fit_packing, op7_secret_ledger, op8_projection_forest, op9_bpe_chunk_reuse, op10_license_automaton)}
 
 
 def _duck_spans(kind: str, order: int, pattern: str, group: int = 0, least: int = 1) -> str:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litlode.llm.bpe import text_slices
-from litlode.llm.common import cut, grouped_batches, split_hot_keys
+from litlode.llm.common import cut, grouped_batches, map_batches, split_hot_keys
 from litlode.llm.components import components, merge_pairs
 
 BITS, RADIUS, WORDS, SEED = 64, 3, 3, 42
@@ -85,7 +85,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return map_batches(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, fp long")
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -169,7 +169,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(signed_values[child]), pa.array(signed_values[parent[child]])], names=["a", "b"])
 
     dealt = cells.select("fp", *by).repartition(*by).sortWithinPartitions(*by)
-    return dealt.mapInArrow(run, "a long, b long")
+    return map_batches(dealt, run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
