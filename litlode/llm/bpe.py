@@ -37,9 +37,9 @@ WINDOW = 16
 MASK = (1 << 9) - 1
 LEAST_CHUNK, MOST_CHUNK = 64, 8192
 #: Bounds of a worker's stores: words in each of two generations, and bytes of encoded chunks.
-MOST_WORDS, MOST_STORE = 400_000, 48 << 20
+MOST_WORDS, MOST_STORE = 250_000, 24 << 20
 #: Bytes of text that are encoded, and sent on, at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 3 << 20
 
 _GEAR = np.random.default_rng(20240501).integers(0, 1 << 63, 256, dtype=np.uint64)
 _BLANK, _ALNUM, _UPPER = (np.array([bytes([c]) in x for c in range(256)]) for x in ([b" ", b"\t", b"\n", b"\v", b"\f", b"\r"], [bytes([c]) for c in range(128) if chr(c).isalnum()], [bytes([c]) for c in range(65, 91)]))
@@ -113,8 +113,8 @@ class Encoder:
         self.ends_word = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends_word[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         self.decoding = decoding
-        self.ids: dict[bytes, bytes] = {}
-        self.toks: dict[bytes, bytes] = {}
+        self.ids: dict[bytes, bytes] = {b"": b""}
+        self.toks: dict[bytes, bytes] = {b"": b""}
         self.old: tuple[dict[bytes, bytes], dict[bytes, bytes]] = {}, {}
         self.store: dict[bytes, tuple[bytes, bytes | None, bytes, bytes]] = {}
         self.stored = 0
@@ -178,32 +178,48 @@ class Encoder:
 
     def _chunks(self, fresh: list[bytes]) -> None:
         """Encode chunks and store (head, ids, tokens, tail): what stands between white space, and the two ends."""
-        split: list[tuple[bytes, bytes | None, int, int, bytes]] = []
-        flat: list[bytes] = []
-        for c in fresh:
-            words = c.split()
-            if not words:
-                split.append((c, b"", 0, 0, b""))
-                continue
-            head = b"" if c[:1].isspace() else words[0]
-            if len(head) == len(c):
-                split.append((c, None, 0, 0, c))
-                continue
-            tail = b"" if c[-1:].isspace() else words.pop()  # another word than the head
-            at = len(flat)
-            flat += words[1:] if head else words
-            split.append((c, head, at, len(flat), tail))
-        ids = self._look_up(flat)
-        toks = list(map(self.toks.__getitem__, flat)) if self.decoding else []
-        for c, head, at, to, tail in split:
-            entry = (tail, None, b"", b"") if head is None else (head, b"".join(ids[at:to]), b"".join(toks[at:to]), tail)
+        if not fresh:
+            return
+        # Chunks are laid end to end with a space between; words at a chunk's ends may be parts of words and stay out.
+        sizes = np.array([len(c) for c in fresh])
+        begin = np.concatenate(([0], np.cumsum(sizes + 1)))
+        data = np.frombuffer(b" ".join(fresh), dtype=np.uint8)
+        inside = ~_BLANK[data]
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
+        starts, ends = edges[::2], edges[1::2]
+        at, to = (np.searchsorted(starts, x) for x in (begin[:-1], begin[1:]))
+        some = at < to
+        headed, tailed = some.copy(), some.copy()
+        headed[some] = starts[at[some]] == begin[:-1][some]
+        tailed[some] = ends[to[some] - 1] == begin[1:][some] - 1
+        single = headed & tailed & (to - at == 1)
+        outer = np.unique(np.concatenate((at[headed], to[tailed] - 1)))
+        for s, e in zip(starts[outer].tolist(), ends[outer].tolist(), strict=True):
+            inside[s:e] = False
+        lengths = ends - starts
+        lengths[outer] = 0  # an outer word is an empty one
+        words = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.py_buffer(data[inside])]).dictionary_encode()
+        different = words.dictionary.to_pylist()
+        which = words.indices.to_numpy().tolist()
+        found = self._look_up(different)
+        ids = list(map(found.__getitem__, which))
+        toks: list[bytes] = []
+        if self.decoding:
+            found = list(map(self.toks.__getitem__, different))
+            toks = list(map(found.__getitem__, which))
+        for c, i, j, one, first, last in zip(fresh, at.tolist(), to.tolist(), single.tolist(), headed.tolist(), tailed.tolist(), strict=True):
+            if one:
+                entry = (c, None, b"", b"")
+            else:
+                head, tail = c.split(None, 1)[0] if first else b"", c.rsplit(None, 1)[-1] if last else b""
+                entry = (head, b"".join(ids[i:j]), b"".join(toks[i:j]), tail)
             self.store[c] = entry
             self.stored += len(c) + len(entry[1] or b"") + len(entry[2]) + 300
 
     def trim(self) -> None:
         if len(self.ids) > MOST_WORDS:  # words in use come back from the older store
             self.old = self.ids, self.toks
-            self.ids, self.toks = {}, {}
+            self.ids, self.toks = {b"": b""}, {b"": b""}
         if self.stored > MOST_STORE:
             self.store.clear()
             self.stored = 0
