@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from litlode.llm import bpe, chat, fingerprints, licenses, packing, rpforest, secrets, simhash
+from litlode.llm import bpe, chat, fingerprints, licenses, packing, quality, rpforest, secrets, simhash, toxicity
 from litlode.llm.common import table
 
 #: Public vocabulary file that ops 6 and 9 take.
@@ -19,6 +19,11 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.severity(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op2_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
@@ -31,6 +36,11 @@ def op4_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.rate(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -52,7 +62,19 @@ def op10_license_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_snapshot_collapse, op3_simhash_bit_sliced, op4_multiset_fingerprints, op6_best_fit_packing, op7_secret_ledger, op8_projection_forest, op9_bpe_chunk_reuse, op10_license_automaton)}
+    found = (
+        op1_ordinal_toxicity,
+        op2_snapshot_collapse,
+        op3_simhash_bit_sliced,
+        op4_multiset_fingerprints,
+        op5_hierarchical_quality,
+        op6_best_fit_packing,
+        op7_secret_ledger,
+        op8_projection_forest,
+        op9_bpe_chunk_reuse,
+        op10_license_automaton,
+    )
+    return {f.__name__: f for f in found}
 
 
 def _duck_spans(kind: str, order: int, pattern: str, group: int = 0, least: int = 1) -> str:

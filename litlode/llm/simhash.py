@@ -28,11 +28,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litlode.llm.bpe import text_slices
-from litlode.llm.common import cut, grouped_batches, map_batches, split_hot_keys
+from litlode.llm.common import cut, grouped_batches, map_batches, small_side, split_hot_keys
 from litlode.llm.components import components, merge_pairs
 
 BITS, RADIUS, WORDS, SEED = 64, 3, 3, 42
@@ -181,3 +181,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = known.filter("root is not null").groupBy("root").agg(F.min("first_id").alias("least_id"))
     labelled = known.join(least, "root", "left").select("fp", F.coalesce("least_id", "first_id").alias("component_id"))
     return docs.join(cut(labelled), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row of each component of near-duplicates: the one with the least id.
+
+    Rows with a null id stay, as no other row can name them; of rows that share an id one
+    stays, by a hash of the text. The ids to drop are broadcast only if they are few.
+    """
+    found = cut(near_duplicates(df, id_col, text_col, radius))
+    drop = cut(found.filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct())
+    kept = df.join(small_side(drop), id_col, "left_anti")
+    if found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept.select(*df.columns)
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
+    return kept.withColumn("_first", first).filter((F.col("_first") == 1) | F.col(id_col).isNull()).select(*df.columns)
