@@ -37,9 +37,9 @@ WINDOW = 16
 MASK = (1 << 9) - 1
 LEAST_CHUNK, MOST_CHUNK = 64, 8192
 #: Bounds of a worker's stores: words in each of two generations, and bytes of encoded chunks.
-MOST_WORDS, MOST_STORE = 250_000, 24 << 20
+MOST_WORDS, MOST_STORE = 150_000, 16 << 20
 #: Bytes of text that are encoded, and sent on, at a time.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 
 _GEAR = np.random.default_rng(20240501).integers(0, 1 << 63, 256, dtype=np.uint64)
 _BLANK, _ALNUM, _UPPER = (np.array([bytes([c]) in x for c in range(256)]) for x in ([b" ", b"\t", b"\n", b"\v", b"\f", b"\r"], [bytes([c]) for c in range(128) if chr(c).isalnum()], [bytes([c]) for c in range(65, 91)]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
@@ -46,10 +48,21 @@ def small_side(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch of texts, where the session has Spark's default: ten times as many fill a small executor.
+BATCH_ROWS, _BATCH = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def tidy() -> None:
+    """Give memory that a worker has freed back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for an application: they may not share the driver's folders."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         package = Path(__file__).resolve().parents[1]
@@ -64,7 +77,14 @@ def ship(spark: SparkSession) -> None:
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with the package at hand on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def tidily(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return df.mapInArrow(tidily, schema)
 
 
 def split_hot_keys(df: DataFrame, keys: Sequence[str], row_key: str, bound: int = CELL_ROWS) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litlode.llm import labelled
-from litlode.llm.common import cut, map_batches, ship, small_side
+from litlode.llm.common import cut, map_batches, ship, small_side, tidy
 
 #: Ridge penalty of the fit, bound of a document's log-ratio, chance from which a document is kept.
 RIDGE, MOST_EVIDENCE, DECISION = 1e-3, 12.0, 0.5
@@ -121,7 +121,9 @@ def evidence_column(spark: SparkSession, model: Model, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def evidence(texts: pa.Array) -> pa.Array:
-        return pa.array([model.evidence(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts.cast(pa.binary())], pa.float64())
+        told = pa.array([model.evidence(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts.cast(pa.binary())], pa.float64())
+        tidy()
+        return told
 
     return evidence(text)
 

@@ -167,7 +167,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
 
     clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
     found = F.col("_spans").isNotNull()
-    columns = {text_col: F.when(found, clean).otherwise(text)}
+    done = joined.withColumn("_clean", F.when(found, clean).otherwise(text))
+    columns = {text_col: F.col("_clean")}
     if chars_col in docs.columns:
-        columns[chars_col] = F.when(found, F.length(clean).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
-    return joined.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
+        columns[chars_col] = F.when(found, F.length("_clean").cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
+    return done.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])

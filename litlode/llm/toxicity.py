@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litlode.llm import labelled
-from litlode.llm.common import cut, map_batches, ship
+from litlode.llm.common import cut, map_batches, ship, tidy
 
 GRADES = 3
 #: Terms of the model at most, their least document count, the least |z| of their association (more among many terms).
@@ -171,7 +171,9 @@ def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        return pa.array([model.score(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts.cast(pa.binary())], pa.float64())
+        told = pa.array([model.score(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts.cast(pa.binary())], pa.float64())
+        tidy()
+        return told
 
     return score(text)
 
