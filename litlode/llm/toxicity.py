@@ -144,7 +144,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows_per_class: int = labelled.
     g2 = 2 * sum((F.when(x > 0, x * F.log(x / e)).otherwise(0.0) for x, e in cells), F.lit(0.0))
     z = F.sqrt(F.greatest(g2, F.lit(0.0))) * F.when(d[1] * n0 >= d[0] * n1, 1).otherwise(-1)  # signed root of the likelihood ratio
     rated = cut(terms.groupBy("term").agg(F.count("*").alias("docs"), z.alias("z")).filter(F.col("docs") >= LEAST_COUNT))
-    least_z = max(LEAST_Z, float(np.sqrt(2 * np.log(max(2, rated.count())))) - 0.5)  # about what chance gives among so many
+    least_z = max(LEAST_Z, float(np.sqrt(2 * np.log(max(2, rated.count())))))  # about what chance gives among so many
     rated = rated.filter(F.abs("z") >= least_z)
     vocabulary = {bytes(r["term"]): (k, r["z"]) for k, r in enumerate(rated.orderBy(F.desc(F.abs("z")), "term").limit(TERMS).collect())}
     if not vocabulary:

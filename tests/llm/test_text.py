@@ -1,0 +1,206 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from litlode.llm import chat, licenses, quality, secrets, toxicity
+
+
+def spans_plain(text):
+    out = []
+    for m in re.finditer(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 8:
+            out.append((m.start(), 0, "assign", m.end()))
+    for k, (kind, pattern, least) in enumerate([("access", r"AKIA[A-Z0-9]+", 16), ("hex", r"[0-9a-f]+", 32)], 1):
+        out += [(m.start(), k, kind, m.end()) for m in re.finditer(pattern, text) if m.end() - m.start() >= least]
+    return sorted(out)
+
+
+def listed(spans):
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in spans)
+
+
+def test_secrets(spark, documents, plain):
+    rnd = random.Random(5)
+    parts = ["password", "PASSWORD", "Token", "api_key", "apikey", "secret", "=", ":", " ", '"', "'", "abc", "a1b2c3d4", "AKIA", "ABCDEF0123456789", "0123456789abcdef", "é", "😀", "ſecret", "\n", "-", "x"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60))) for _ in range(1500)]
+    extra = spark.createDataFrame([(200000 + k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    df = documents.select("doc_id", "text").union(extra)
+    rows = plain + [(200000 + k, t) for k, t in enumerate(texts)]
+    got = sorted((str(r.doc_id), r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in secrets.secrets_digest(df).collect())
+    expected = []
+    for k, t in rows:
+        s = spans_plain(t)
+        n = [sum(x[2] == kind for x in s) for kind in ("assign", "access", "hex")]
+        expected.append((str(k), *n, hashlib.sha256(listed(s).encode()).hexdigest(), listed(s)))
+    assert got == sorted(expected)
+    assert secrets.secrets_digest(df.limit(0)).count() == 0
+
+
+def test_secret_plan_is_native(documents):
+    plan = secrets.secrets_digest(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_ledger_scans_only_what_it_lacks(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    df = spark.createDataFrame([(1, "a password=abcdefgh1 b"), (2, "none"), (3, None), (4, "none")], "doc_id long, text string")
+    spans = lambda d, *a: {r.doc_id: r.spans and [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan_paths(d, path, *a).collect()}
+    assert spans(df) == {1: [("assign", 2, 20)], 2: None, 3: None, 4: None}
+    assert spark.read.parquet(path).count() == 3
+    assert spans(df)[1] == [("assign", 2, 20)] and spark.read.parquet(path).count() == 3
+    more = df.union(spark.createDataFrame([(5, "new token=zzzzzzzzzz")], df.schema))
+    assert spans(more)[5] == [("assign", 4, 20)] and spark.read.parquet(path).count() == 4
+    newer = (*secrets.BASE, secrets.Rule("vendor", "none", version=2))
+    assert spans(more, newer)[2] == [("vendor", 0, 4)]
+    fresh = spark.read.parquet(path).filter("array_contains(rules, 'vendor@2')")
+    assert fresh.count() == 4 and {tuple(r.rules) for r in fresh.collect()} == {("vendor@2",)}
+    assert spans(more)[2] is None  # the older version of the rule found nothing
+
+
+def test_redact(spark):
+    df = spark.createDataFrame([(1, "a password=abcdefgh1 b", 22, "x"), (2, "none", 4, None), (3, None, None, None)], "doc_id long, text string, n_chars long, blob string")
+    rows = {r.doc_id: r for r in secrets.redact(df).collect()}
+    assert (rows[1].text, rows[1].n_chars, rows[1].blob) == ("a <ASSIGN> b", 12, "x")
+    assert (rows[2].text, rows[3].text, rows[3].n_chars) == ("none", None, None)
+
+
+def base_plain(text):
+    low = "".join(chr(ord(x) + 32) if "A" <= x <= "Z" else x for x in text)
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    found = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    return len(words), sorted(found)
+
+
+def test_licences(documents, plain):
+    got = sorted((str(r.doc_id), r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.license_digest(documents).collect())
+    expected = []
+    for k, t in plain:
+        n, found = base_plain(t)
+        at = [i for i, _ in found]
+        expected.append((str(k), n, len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))))
+    assert sorted(got, key=str) == sorted(expected, key=str)
+    assert licenses.license_digest(documents.limit(0)).count() == 0
+
+
+def test_automaton_against_brute_force():
+    rnd, scanner = random.Random(1), licenses.Scanner()
+    words = "mit license apache general public license of the gnu released under licensed version 2 0 é zz".split()
+    for _ in range(1500):
+        t = " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 60)))
+        n, base, _ = scanner.scan(t.encode())
+        assert (n, sorted(base)) == base_plain(t)
+
+
+def test_matching_statistics():
+    sequences = [[1, 2, 3, 1, 2], [2, 3, 3], [3, 1]]
+    a = licenses.Automaton(sequences)
+    factors = {tuple(s[i:j]) for s in sequences for i in range(len(s)) for j in range(i + 1, len(s) + 1)}
+    for factor in factors:
+        state = 0
+        for t in factor:
+            state = a.next[state][t]
+        ends = sorted((k, j - 1) for k, s in enumerate(sequences) for i in range(len(s)) for j in range(i + 1, len(s) + 1) if tuple(s[i:j]) == factor)
+        assert [p for p in a.places[state]] == ends
+
+
+def test_licence_spans_bridge_small_edits():
+    text = licenses.TEMPLATES[1][1].replace("obtaining", "getting")
+    (span,) = licenses.Scanner().scan(b"so here: " + text.encode() + b" and on")[2]
+    assert span[2] == "mit" and 0.9 < span[3] < 1 and span[:2] == (2, 31)
+
+
+def test_chat(spark):
+    say = lambda c, *texts: [(c, k, "user" if k % 2 == 0 else "assistant", t) for k, t in enumerate(texts)]
+    rows = say(1, "a") + say(2, "a", "b") + say(3, "a", "b", "c") + say(4, "a", "x") + say(5, "a", "b", "c") + say(6, "b") + [(6, 0, "user", "b")] + [(7, 0, None, None), (8, None, "user", ""), (None, 0, "user", "a"), (None, 1, "user", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r.conv_id: (r.segment, r.n_turns, r.n_copies, r.text) for r in chat.collapse_and_render(df).collect()}
+    assert set(got) == {3, 4, 6, 7, 8, None}
+    assert got[3] == (0, 3, 2, "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n<|im_start|>user\nc<|im_end|>\n")
+    assert got[6][1:3] == (1, 1) and got[7][3] == "<|im_start|>unknown\n<|im_end|>\n" and got[None][1] == 2
+    assert chat.collapse_and_render(df.limit(0)).count() == 0
+
+
+def test_chat_against_brute_force(spark):
+    rnd = random.Random(9)
+    talks = {c: tuple((rnd.choice("ua"), rnd.choice("xy")) for _ in range(rnd.randint(1, 6))) for c in range(300)}
+    df = spark.createDataFrame([(c, k, r, t) for c, talk in talks.items() for k, (r, t) in enumerate(talk)], "conv_id long, turn long, role string, text string").repartition(5)
+    top = {}
+    for c, talk in sorted(talks.items()):
+        if not any(len(o) > len(talk) and o[: len(talk)] == talk for o in talks.values()):
+            top.setdefault(talk, c)
+    rows = chat.collapse_and_render(df).collect()
+    assert {r.conv_id for r in rows} == set(top.values())
+    assert "Python" not in chat.maximal(chat.turn_prefixes(df))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_chat_in_segments(spark):
+    df = spark.range(0, 1000).selectExpr("1L as conv_id", "id as turn", "'user' as role", "concat('t', id) as text").repartition(7)
+    rows = chat.collapse_and_render(df).orderBy("segment").collect()
+    assert len(rows) == -(-1000 // chat.SEGMENT_TURNS) and {r.n_turns for r in rows} == {1000}
+    assert "".join(r.text for r in rows) == "".join(f"<|im_start|>user\nt{k}<|im_end|>\n" for k in range(1000))
+
+
+@pytest.fixture(scope="module")
+def larger(spark):
+    d = "/root/testdata/sf0.1"
+    return spark.read.parquet(f"{d}/documents.parquet").cache(), spark.read.parquet(f"{d}/labels.parquet").cache()
+
+
+def test_toxicity_on_held_out_labels(larger):
+    documents, labels = larger
+    train, test = labels.filter("doc_id % 2 = 0"), labels.filter("doc_id % 2 = 1")
+    told = toxicity.severity(documents, toxicity.fit(documents, train, 1000)).withColumnRenamed("toxic", "found").join(test, "doc_id").collect()
+    caught = [r.found for r in told if r.toxic == 1]
+    wrong = [r.found for r in told if r.toxic == 0]
+    assert sum(caught) / len(caught) > 0.9 and sum(wrong) / len(wrong) < 0.01
+    assert all(0 <= r.expected_severity <= toxicity.GRADES and 0 <= r.grade <= toxicity.GRADES for r in told)
+
+
+def test_quality_on_held_out_labels(larger):
+    documents, labels = larger
+    train, test = labels.filter("doc_id % 2 = 0"), labels.filter("doc_id % 2 = 1")
+    told = quality.rate(documents, quality.fit(documents, train, 1000)).join(test, "doc_id").collect()
+    good, poor = ([r.kept for r in told if r.quality == q] for q in (1, 0))
+    assert sum(good) / len(good) > 0.99 and sum(poor) / len(poor) < 0.05
+
+
+def test_sparse_sites_shrink(spark):
+    rows = [("big", "a", 3.0)] * 400 + [("big", "b", -3.0)] * 400 + [("tiny", "a", -6.0)] + [("h%d" % k, "p", 4.0 if k % 2 else -4.0) for k in range(40) for _ in range(20)]
+    told = {(r.h, r.p): r for r in quality.posteriors(spark.createDataFrame(rows, "host string, path string, evidence double")).collect()}
+    assert told["big", "a"].path_posterior > 0.9 > 0.1 > told["big", "b"].path_posterior
+    assert told["tiny", "a"].host_posterior > 0.1  # one poor document says little
+
+
+def test_cumulative_weights_are_shared():
+    import numpy as np
+
+    rnd = np.random.default_rng(0)
+    x = rnd.integers(0, 4, (600, 2))
+    y = np.searchsorted([1, 3, 5], x[:, 0] * 1.5 + rnd.normal(0, 0.5, 600))
+    rows, terms = np.nonzero(x)
+    beta, theta = toxicity.fit_cumulative(rows, terms, x[rows, terms].astype(float), y, 2)
+    assert beta[0] > 1 > abs(beta[1]) * 3 and (np.diff(theta) > 0).all()
+
+
+def test_classifiers_on_odd_rows(documents, spark):
+    nothing = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert not toxicity.severity(documents, toxicity.fit(documents, nothing)).filter("toxic or expected_severity <> 0").count()
+    assert quality.rate(documents, quality.fit(documents, nothing)).filter("kept").count() == documents.count()
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").union(spark.createDataFrame([(None, 1, 1), (100000, None, None), (100001, 1, 0), (100001, 0, 1)], "doc_id long, quality int, toxic int"))
+    model, other = toxicity.fit(documents, labels), quality.fit(documents, labels)
+    assert toxicity.severity(documents, model).count() == documents.count() == quality.rate(documents, other).count()
+    assert toxicity.severity(documents.limit(0), model).count() == 0 and quality.rate(documents.limit(0), other).count() == 0
+    assert quality.keep_good(documents, other).columns == documents.columns == toxicity.drop_toxic(documents, model).columns
+    kept = {(r.doc_id, r.text) for r in quality.keep_good(documents, other).select("doc_id", "text").collect()}
+    rated = {r.doc_id for r in quality.rate(documents, other).filter("kept").collect()}
+    assert {k for k, _ in kept} == rated
+
+
+def test_cumulative_counts_in_segments(monkeypatch):
+    model = toxicity.Model({b"scum": 2.0, b"idio*": 1.0}, (1.0, 2.0, 3.0))
+    text = b"Scum and idiots, idiotic scum " * 20
+    whole = model.score(text)
+    monkeypatch.setattr(toxicity, "SEGMENT", 16)
+    assert model.score(text) == whole > 0
