@@ -39,7 +39,7 @@ LEAST_CHUNK, MOST_CHUNK = 64, 8192
 #: Bounds of a worker's stores: words in each of two generations, and bytes of encoded chunks.
 MOST_WORDS, MOST_STORE = 150_000, 16 << 20
 #: Bytes of text that are encoded, and sent on, at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 
 _GEAR = np.random.default_rng(20240501).integers(0, 1 << 63, 256, dtype=np.uint64)
 _BLANK, _ALNUM, _UPPER = (np.array([bytes([c]) in x for c in range(256)]) for x in ([b" ", b"\t", b"\n", b"\v", b"\f", b"\r"], [bytes([c]) for c in range(128) if chr(c).isalnum()], [bytes([c]) for c in range(65, 91)]))
@@ -77,7 +77,7 @@ def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def fold(data: bytes, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Fewer different words with the same encoding: A to Z lowered, and a comma or stop set off from its word.
+    """Fewer different words with the same encoding: capitals up to U+00DE lowered, and a comma or stop set off from its word.
 
     Letters are lowered where the next character is ASCII or in U+00C0 to U+00FF, which compose
     with no letter before them; a comma or stop between a letter or digit and white space (or an
@@ -87,7 +87,8 @@ def fold(data: bytes, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
         return data, offsets
     d = np.frombuffer(data, dtype=np.uint8)
     after, before = np.append(d[1:], np.uint8(32)), np.insert(d[:-1], 0, 32)
-    lowered = d + (32 * (_UPPER[d] & ((after < 128) | (after == 0xC3)))).astype(np.uint8)
+    capital = _UPPER[d] | ((before == 0xC3) & (d >= 0x80) & (d <= 0x9E) & (d != 0x97))  # the second byte of U+00C0 to U+00DE
+    lowered = d + (32 * (capital & ((after < 128) | (after == 0xC3)))).astype(np.uint8)
     at = np.flatnonzero(((d == 44) | (d == 46)) & _BLANK[after])
     latin = np.zeros(len(at), dtype=bool)
     late = at >= 2
@@ -96,6 +97,97 @@ def fold(data: bytes, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
     return np.insert(lowered, at, 32).tobytes(), offsets + np.searchsorted(at, offsets)
 
 
+def _byte_letters() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself, or the next free one from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    free = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(free)) for b in range(256)]
+
+
+class Merger:
+    """Byte-pair merges for many words at once: words of a length are rows, and each round merges every row's best pair."""
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, model: dict) -> None:
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        letters = _byte_letters()
+        self.inner = np.array([vocab[c] for c in letters], dtype=np.int32)
+        self.last = np.array([vocab[c + suffix] for c in letters], dtype=np.int32)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
+        codes = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], dtype=np.int64)
+        self.bits = int(len(pairs) * 4).bit_length()
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.ranks = np.full(1 << self.bits, self.NONE, dtype=np.int32)
+        for rank, (slot, code) in enumerate(zip(self._slot(codes).tolist(), codes.tolist(), strict=True)):
+            while self.keys[slot] >= 0:
+                if self.keys[slot] == code:
+                    break
+                slot = (slot + 1) & ((1 << self.bits) - 1)
+            else:
+                self.keys[slot], self.ranks[slot] = code, rank
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.view(np.uint64) * np.uint64(_STEP)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair; NONE for pairs that don't merge."""
+        codes = left.astype(np.int64) << 32 | right
+        slots = self._slot(codes)
+        held = self.keys[slots]
+        ranks = np.where(held == codes, self.ranks[slots], self.NONE)
+        todo = np.flatnonzero((held != codes) & (held >= 0))
+        while len(todo):
+            slots[todo] = (slots[todo] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[slots[todo]]
+            same = held == codes[todo]
+            ranks[todo[same]] = self.ranks[slots[todo[same]]]
+            todo = todo[~same & (held >= 0)]
+        return ranks
+
+    def words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words of one length; each word is one pre-token."""
+        told: dict[bytes, bytes] = {}
+        data = np.frombuffer(b"".join(words), dtype=np.uint8).reshape(len(words), -1)
+        tokens = self.inner[data]
+        tokens[:, -1] = self.last[data[:, -1]]
+        at = np.arange(len(words))
+        ranks = self.rank(tokens[:, :-1].ravel(), tokens[:, 1:].ravel()).reshape(len(words), -1)
+        while len(at):
+            width = tokens.shape[1]
+            best = ranks.argmin(axis=1) if width > 1 else np.zeros(len(at), dtype=np.int64)
+            low = ranks[np.arange(len(at)), best] if width > 1 else np.full(len(at), self.NONE)
+            done = low == self.NONE
+            if done.any():
+                ids, step = tokens[done].astype("<u4").tobytes(), 4 * width
+                told.update(zip([words[k] for k in at[done].tolist()], [ids[k : k + step] for k in range(0, len(ids), step)], strict=True))
+                live = ~done
+                at, tokens, ranks, best, low = at[live], tokens[live], ranks[live], best[live], low[live]
+                if not len(at):
+                    break
+            rows = np.arange(len(at))
+            tokens[rows, best] = self.made[low]
+            tokens = np.take_along_axis(tokens, np.arange(width - 1) + (np.arange(width - 1) > best[:, None]), axis=1)
+            ranks = np.take_along_axis(ranks, np.arange(width - 2) + (np.arange(width - 2) >= best[:, None]), axis=1) if width > 2 else ranks[:, :0]
+            for shift in (0, 1):  # the pairs before and after the merged token
+                left = best - 1 + shift
+                fine = np.flatnonzero((left >= 0) & (left + 1 < width - 1))
+                ranks[fine, left[fine]] = self.rank(tokens[fine, left[fine]], tokens[fine, left[fine] + 1])
+        return told
+
+
+def _laid_out(found: list[bytes], which: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The ids of words ``which`` of those ``found``, end to end, and the byte at which each word's begin (and the end)."""
+    sizes = np.array(list(map(len, found)), dtype=np.int64) // 4
+    flat = np.frombuffer(b"".join(found), dtype="<u4")
+    begin = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    counts = sizes[which]
+    at = np.concatenate(([0], np.cumsum(counts)))
+    take = np.arange(at[-1]) + np.repeat(begin[which] - at[:-1], counts)
+    return flat[take].tobytes(), 4 * at
+
+
 class Encoder:
     """Encodes whole texts through chunks; one for each worker and vocabulary file."""
 
@@ -106,12 +198,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        check(path)
+        self.merger = Merger(check(path))
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.names = {i: t.encode() for t, i in vocab.items()}
-        suffix = self.tokenizer.model.end_of_word_suffix or ""
-        self.ends_word = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.ends_word[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         self.decoding = decoding
         self.ids: dict[bytes, bytes] = {b"": b""}
         self.toks: dict[bytes, bytes] = {b"": b""}
@@ -121,24 +210,24 @@ class Encoder:
         self.reused = 0
 
     def _ask(self, words: list[bytes]) -> None:
-        """The library's own encoding of words without white space.
+        """The ids of words without white space.
 
-        A word of letters alone is one pre-token, which ends with the one token that has the
-        suffix for it; thousands of such words are encoded as one text and told apart by it.
+        A word of lower-case letters up to U+00FF is as the normaliser leaves it and one
+        pre-token; such words are merged here, many at a time. The library encodes all others.
         """
-        plain, other = [], []
+        plain: dict[int, list[bytes]] = {}
+        other = []
         for w in words:
-            (plain if w.isalpha() or not w.isascii() and (t := w.decode()).isalpha() and t.lower().isalpha() else other).append(w)
-        for k in range(0, len(plain), 4096):
-            part = plain[k : k + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(part):
-                ends, ids = ends.tolist(), ids.tobytes()
-                for w, i, j in zip(part, [0, *ends], ends, strict=False):
-                    self._put(w, ids[4 * i : 4 * j])
+            if len(w) <= 40 and (w.isalpha() and w.islower() or not w.isascii() and (t := w.decode()).isalpha() and t.islower() and max(t) < "\u0100"):
+                plain.setdefault(len(w), []).append(w)
             else:
-                other += part
+                other.append(w)
+        for same in plain.values():
+            found = self.merger.words(same)
+            self.ids.update(found)
+            if self.decoding:
+                for w, ids in found.items():
+                    self._put(w, ids)
         for k in range(0, len(other), 4096):
             part = other[k : k + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
@@ -171,11 +260,6 @@ class Encoder:
                 found[k] = ids[words[k]]
         return found
 
-    def _word(self, word: bytes) -> tuple[bytes, bytes]:
-        if word not in self.ids:
-            self.learn({word})
-        return self.ids[word], self.toks[word] if self.decoding else b""
-
     def _chunks(self, fresh: list[bytes]) -> None:
         """Encode chunks and store (head, ids, tokens, tail): what stands between white space, and the two ends."""
         if not fresh:
@@ -200,21 +284,22 @@ class Encoder:
         lengths[outer] = 0  # an outer word is an empty one
         words = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.py_buffer(data[inside])]).dictionary_encode()
         different = words.dictionary.to_pylist()
-        which = words.indices.to_numpy().tolist()
+        which = words.indices.to_numpy()
         found = self._look_up(different)
-        ids = list(map(found.__getitem__, which))
-        toks: list[bytes] = []
+        ids, at_id = _laid_out(found, which)
         if self.decoding:
-            found = list(map(self.toks.__getitem__, different))
-            toks = list(map(found.__getitem__, which))
-        for c, i, j, one, first, last in zip(fresh, at.tolist(), to.tolist(), single.tolist(), headed.tolist(), tailed.tolist(), strict=True):
+            known = list(map(self.toks.__getitem__, different))
+            toks = list(map(known.__getitem__, which.tolist()))
+        nothing = np.zeros(1, dtype=np.int64)  # for chunks without words
+        first_end, last_start = np.append(ends, nothing)[np.minimum(at, len(ends))] - begin[:-1], np.append(starts, nothing)[to - 1] - begin[:-1]
+        table = (at, to, at_id[at], at_id[to], single, headed, tailed, first_end, last_start)
+        for c, i, j, x, y, one, first, last, e, s in zip(fresh, *(t.tolist() for t in table), strict=True):
             if one:
                 entry = (c, None, b"", b"")
             else:
-                head, tail = c.split(None, 1)[0] if first else b"", c.rsplit(None, 1)[-1] if last else b""
-                entry = (head, b"".join(ids[i:j]), b"".join(toks[i:j]), tail)
+                entry = (c[:e] if first else b"", ids[x:y], b"".join(toks[i:j]) if self.decoding else b"", c[s:] if last else b"")
             self.store[c] = entry
-            self.stored += len(c) + len(entry[1] or b"") + len(entry[2]) + 300
+            self.stored += len(c) + (y - x) + len(entry[2]) + 300
 
     def trim(self) -> None:
         if len(self.ids) > MOST_WORDS:  # words in use come back from the older store
@@ -235,9 +320,9 @@ class Encoder:
         self.reused += len(chunks) - len(fresh)
         self._chunks(fresh)
         first = np.searchsorted(docs, np.arange(len(offsets)), side="left").tolist()
+        told: list[list[tuple[bytes, bytes | None]]] = []  # for each text: chunks' ids and tokens, or (word, None) at a seam
         for d in range(len(offsets) - 1):
-            ids: list[bytes] = []
-            toks: list[bytes] = []
+            parts: list[tuple[bytes, bytes | None]] = []
             seam: list[bytes] = []  # bytes since the last white space: they may go on in the next chunk
             for c in chunks[first[d] : first[d + 1]]:
                 head, mid, mid_toks, tail = store[c]
@@ -246,35 +331,41 @@ class Encoder:
                 if mid is None:
                     continue
                 if seam:
-                    a, b = self._word(b"".join(seam))
-                    ids.append(a)
-                    toks.append(b)
-                ids.append(mid)
-                toks.append(mid_toks)
+                    parts.append((b"".join(seam), None))
+                parts.append((mid, mid_toks))
                 seam = [tail] if tail else []
             if seam:
-                a, b = self._word(b"".join(seam))
-                ids.append(a)
-                toks.append(b)
-            yield b"".join(ids), b"".join(toks)[:-1]
+                parts.append((b"".join(seam), None))
+            told.append(parts)
+        self.learn({w for parts in told for w, t in parts if t is None and w not in self.ids})
+        known_ids, known_toks, decoding = self.ids, self.toks, self.decoding
+        for parts in told:
+            ids = b"".join([known_ids[x] if t is None else x for x, t in parts])
+            yield ids, b"".join([known_toks[x] if t is None else t for x, t in parts])[:-1] if decoding else b""
 
 
-def check(path: str) -> None:
+def check(path: str) -> dict:
     """Refuse a vocabulary for which white space does not end every pre-token, or that decodes otherwise.
 
     Taken are files whose normaliser folds white space, whose splitting pattern has no
     alternative that matches white space, and that have no decoder (tokens are then joined by
-    spaces), post-processor, or added token that holds or strips white space.
+    spaces), post-processor, or added token that holds or strips white space; and whose model
+    is a byte-level BPE with a suffix for a word's end, which is returned.
     """
     with open(path, encoding="utf-8") as f:
         t = json.load(f)
     first = ((t.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
     pattern = (first.get("pattern") or {}).get("Regex", " ")
     fine = first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and " " not in pattern and "\\s" not in pattern.replace("[^\\s", "")
+    steps = (t.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    fine = fine and [x["type"] for x in steps[1:]] == ["ByteLevel"] and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+    m = t["model"]
+    fine = fine and m.get("end_of_word_suffix") and not any(m.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
     fine = fine and not t.get("decoder") and not t.get("post_processor") and t["model"]["type"] == "BPE"
     fine = fine and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] or "<|" not in a["content"] or any(c.isspace() for c in a["content"]) for a in t["added_tokens"])
     if not fine:
-        raise ValueError(f"{path}: white space does not end every pre-token of this vocabulary")
+        raise ValueError(f"{path}: not a byte-level vocabulary in which white space ends every pre-token")
+    return m
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
