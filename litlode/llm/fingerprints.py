@@ -33,6 +33,8 @@ from litlode.llm.common import map_batches
 EXACT, LANES, WORDS = 4, 256, 5
 #: Documents of a bucket of neighbours, about.
 BUCKET_ROWS = 20_000
+#: Buckets at most; beyond them buckets grow, and are still read as a sorted stream.
+MOST_BUCKETS = 50_000
 #: Bytes that are hashed in one go.
 BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -163,35 +165,39 @@ def neighbours(df: DataFrame) -> DataFrame:
     """Rows (doc_id, text) dealt to buckets of consecutive ids; sorted, and compressed for the shuffle.
 
     (bucket, guest, doc_id, tie, packed): a bucket ends with a guest, the first row of the next
-    bucket (of the first bucket for the last). The bucket limits are quantiles of doc_id.
+    bucket (of the first bucket for the last). Buckets begin at quantiles of doc_id, which are
+    ids that occur; only these, at most MOST_BUCKETS, come to the driver.
     """
-    n = df.count()
-    buckets = max(1, -(-n // BUCKET_ROWS))
-    limits = sorted(set(df.stat.approxQuantile("doc_id", [k / buckets for k in range(1, buckets)], 0.2 / buckets))) if buckets > 1 else []
-    bucket = F.lit(0)
-    if limits:
-        bounds = F.array(*[F.lit(int(x)) for x in limits])
-        bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda x: x <= F.col("doc_id"))))
-    firsts = {r["bucket"]: (r["least"], r["nulls"]) for r in df.select(bucket.alias("bucket"), "doc_id").groupBy("bucket").agg(F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).collect()}  # a row for each bucket
-    order = sorted(firsts)
-    before = {b: order[k - 1] for k, b in enumerate(order)}
-    guest = F.lit(None).cast("int")
-    for b, (least, nulls) in firsts.items():
-        first = F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(least)
-        guest = F.when(first & (F.col("bucket") == b), F.lit(before[b])).otherwise(guest)
+    told = df.agg(F.count("*").alias("n"), F.min("doc_id").alias("least"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    buckets = min(MOST_BUCKETS, max(1, -(-told["n"] // BUCKET_ROWS)))
+    starts = np.empty(0, dtype=np.int64)
+    if buckets > 1 and told["least"] is not None:
+        at = F.array(*[F.lit(k / buckets) for k in range(1, buckets)])
+        found = df.agg(F.percentile_approx(F.col("doc_id").cast("long"), at, 5 * buckets).alias("q")).first()["q"]
+        starts = np.array(sorted(set(found) - ({told["least"]} if not told["nulls"] else set())), dtype=np.int64)
+    last = len(starts)
+    least, nulls = told["least"], told["nulls"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            for at, to, data, offsets in text_slices(b, 3):
-                packed = [press(data[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(at, to - at) for k in range(3)), pa.array(packed, pa.binary())], names=["bucket", "doc_id", "tie", "packed"])
+            lost = b.column(0).is_null().to_numpy(zero_copy_only=False)
+            ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            bucket = np.where(lost, 0, np.searchsorted(starts, ids, side="right"))
+            opens = lost if nulls else ids == least  # the first row of all
+            opens = opens | ((bucket > 0) & ~lost & (ids == (starts[bucket - 1] if last else 0)))
+            for at, to, data, offsets in text_slices(b, 2):
+                packed = pa.array([press(data[s:e]) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
+                own, visit = bucket[at:to], np.flatnonzero(opens[at:to])
+                rows = np.concatenate((np.arange(to - at), visit))
+                take = pa.array(rows)
+                guest = np.repeat([0, 1], [to - at, len(visit)]).astype(np.int32)
+                where = np.concatenate((own, np.where(own[visit] > 0, own[visit] - 1, last))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(guest), b.column(0).slice(at, to - at).take(take), b.column(1).slice(at, to - at).take(take), packed.take(take)], names=["bucket", "guest", "doc_id", "tie", "packed"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    own = map_batches(df.select(bucket.alias("bucket"), "doc_id", F.xxhash64("text").alias("tie"), "text"), run, f"bucket int, doc_id {kind}, tie long, packed binary")
-    at = F.explode(F.filter(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("guest")), F.struct(guest.alias("bucket"), F.lit(1).alias("guest"))), lambda x: x["bucket"].isNotNull()))
-    dealt = own.select(at.alias("at"), "doc_id", "tie", "packed").select("at.bucket", "at.guest", "doc_id", "tie", "packed")
-    return dealt.repartition(len(order) or 1, "bucket").sortWithinPartitions("bucket", "guest", "doc_id", "tie")
+    dealt = map_batches(df.select("doc_id", F.xxhash64("text").alias("tie"), "text"), run, f"bucket int, guest int, doc_id {kind}, tie long, packed binary")
+    return dealt.repartition(last + 1, "bucket").sortWithinPartitions("bucket", "guest", "doc_id", "tie")
 
 
 def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -108,16 +109,17 @@ def test_hot_keys_meet_once(spark):
     assert max(map(len, met.values())) < 80
 
 
-def test_fingerprint_edits(documents, plain):
+@pytest.mark.parametrize("bucket_rows", [20_000, 7])
+def test_fingerprint_edits(documents, plain, bucket_rows, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", bucket_rows)
     rows = fingerprints.edited_digest(documents).orderBy("doc_id").collect()
     distinct = sorted({(k, t) for k, t in plain if k is not None})
     texts = dict(distinct)
     ids = sorted(texts)
     by = {r.doc_id: r for r in rows}
     assert len(rows) == len(plain)
-    import hashlib
-
-    for k, after in zip(ids, ids[1:], strict=False):
+    texts[None] = next(t for k, t in plain if k is None)
+    for k, after in zip([*ids, None], [*ids[1:], None, ids[0]], strict=True):  # the null id comes first
         if after == 100003 or k == 100003:  # the repeated row
             continue
         t, n = texts[k], len(texts[k]) // 4
