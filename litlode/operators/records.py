@@ -11,19 +11,30 @@ from litlode.schema import RECORD_COLUMNS, require_columns
 ALL_ROWS = 2**31 - 1
 
 
+#: Keys of a bucket that is numbered on its own.
+BUCKET_KEYS = 100_000
+
+
 def number_rows(df: DataFrame, *order: str, name: str = "entry_number") -> DataFrame:
     """Dense numbers 1..N by ``order``, without gathering all rows in one partition.
 
-    Rows are range-partitioned by the order key; each partition numbers its own, and adds the
-    counts of the partitions before it (a row for each partition). Rows equal in the whole key
-    are numbered in any order among themselves.
+    The last column of ``order`` is a whole number that is about dense, such as an entry number;
+    those before it take few values, such as the number of a set. Rows are numbered within
+    buckets of BUCKET_KEYS keys, and the counts of the buckets before are added, a row for each
+    bucket. Buckets follow from the keys alone, so both sides of the join see the same ones.
+    Rows equal in the whole key are numbered in any order among themselves.
     """
-    dealt = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(*order)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).select("_part", "_before")
-    numbered = dealt.withColumn("_in", F.row_number().over(inside)).join(F.broadcast(counts), "_part")
-    return numbered.withColumn(name, (F.col("_in") + F.col("_before")).cast("long")).drop("_part", "_in", "_before")
+    *first, key = order
+    bucketed = df.withColumn("_bucket", F.floor(F.col(key) / BUCKET_KEYS))
+    by = [*first, "_bucket"]
+    earlier = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    counts = bucketed.groupBy(*by).count().withColumn("_before", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+    counts = counts.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(by)], "_before")
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_c{k}"))
+    numbered = bucketed.withColumn("_in", F.row_number().over(Window.partitionBy(*by).orderBy(key))).join(counts, same)
+    return numbered.withColumn(name, (F.col("_in") + F.col("_before")).cast("long")).drop("_bucket", "_in", "_before", *[f"_c{k}" for k in range(len(by))])
 
 
 def to_records(raw: DataFrame, query: str | None = None, view: str | None = None, order: str = "position") -> DataFrame:

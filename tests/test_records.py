@@ -91,3 +91,12 @@ def test_replay(spark):
     ex = example_records(spark)
     assert [r.entry_number for r in R.replay(ex, 2016, 4).orderBy("entry_number").collect()] == [1, 2, 3, 4]
     assert R.replay(ex, 1900).count() == 0
+
+
+def test_numbers_are_dense_across_buckets(spark, monkeypatch):
+    monkeypatch.setattr(R, "BUCKET_KEYS", 10)
+    df = spark.createDataFrame([(k % 3, (k * 7) % 101) for k in range(101)] + [(1, None), (2, 2**40)], "s int, p long").repartition(5)
+    rows = R.number_rows(df, "s", "p", name="n").orderBy("n").collect()
+    assert [r.n for r in rows] == list(range(1, 104))
+    keys = [(r.s, -1 if r.p is None else r.p) for r in rows]
+    assert keys == sorted(keys)
