@@ -208,13 +208,15 @@ def extract_dois_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _DIFF = f"""WITH {_REC}, c AS (SELECT *, {_CLEAN} AS d FROM rec),
   a AS (SELECT d, lower(d) AS k FROM c WHERE year <= 2000 AND d IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(d) ORDER BY entry_number) = 1),
-  b AS (SELECT d, lower(d) AS k FROM c WHERE (entry_number - 1) % 97 <> 0 AND d IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(d) ORDER BY entry_number) = 1),
+  b AS (SELECT CASE WHEN year > 1996 THEN upper(d) ELSE d END AS d, lower(d) AS k FROM c WHERE (citations > 20 OR year > 2000) AND d IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(d) ORDER BY entry_number) = 1),
   diff AS (SELECT coalesce(b.d, a.d) AS doi, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k IS NULL THEN 'removed' ELSE 'unchanged' END AS status FROM a FULL JOIN b ON a.k = b.k)"""
 
 
 def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot of the years up to 2000 against a later one, which has more years, lacks seldom cited records and spells DOIs otherwise."""
     rec = A.records(spark, sf_dir)
-    return sets.diff_dois(rec.filter("year <= 2000"), rec.filter("(entry_number - 1) % 97 <> 0"))
+    respelt = F.when(F.col("year") > 1996, F.upper("doi")).otherwise(F.col("doi"))
+    return sets.diff_dois(rec.filter("year <= 2000"), rec.filter("citations > 20 or year > 2000").withColumn("doi", respelt))
 
 
 @query(f"{_DIFF} SELECT doi, status FROM diff")
@@ -227,13 +229,14 @@ def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sets.diff_summary(_diff(spark, sf_dir))
 
 
-_SETS = f"""WITH {_REC}, both_sets AS (SELECT 0 AS s, * FROM rec WHERE (entry_number - 1) % 3 <> 0 UNION ALL SELECT 1 AS s, * FROM rec WHERE (entry_number - 1) % 2 = 0),
+_SETS = f"""WITH {_REC}, both_sets AS (SELECT 0 AS s, * FROM rec UNION ALL SELECT 1 AS s, * REPLACE (CASE WHEN year > 1997 THEN scopus_id END AS scopus_id, upper(doi) AS doi) FROM rec),
   keyed AS (SELECT *, coalesce('id:' || scopus_id, 'doi:' || lower(doi), 'row:' || s || ':' || entry_number) AS key FROM both_sets)"""
 
 
 def _sets(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """All records, and all of them again from a source that knows ids of later years only and spells DOIs in capitals."""
     rec = A.records(spark, sf_dir)
-    return [rec.filter("(entry_number - 1) % 3 <> 0"), rec.filter("(entry_number - 1) % 2 = 0")]
+    return [rec, rec.withColumn("scopus_id", F.when(F.col("year") > 1997, F.col("scopus_id"))).withColumn("doi", F.upper("doi"))]
 
 
 @query(f"{_SETS} SELECT row_number() OVER (ORDER BY s, entry_number) AS entry_number, * EXCLUDE (s, key, entry_number) FROM keyed")
@@ -279,7 +282,7 @@ def total_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ABS = f"""{_BASE}, per AS (SELECT l_orderkey, string_agg(DISTINCT p_type, '; ' ORDER BY p_type) AS kw, count(*) AS refs FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
-  ids AS (SELECT k AS position, 'https://doi.org/10.5555/ord.' || CASE WHEN k % 10 = 3 THEN k + 100000000 ELSE k END AS id FROM base WHERE k % 4 = 0 OR k % 10 = 3)"""
+  ids AS (SELECT k AS position, 'https://doi.org/10.5555/ord.' || CASE WHEN k % 10 = 3 THEN k + 100000000 ELSE k END AS id FROM base)"""
 
 
 @query(f"""WITH {_ABS} SELECT position, 'ord-' || k AS scopus_id, coalesce('10.5555/ORD.' || k, id) AS doi, o_orderpriority || ' & ' || c_mktsegment || ' #' || k AS title, 'About ' || o_orderpriority || ' & ' || c_mktsegment || ' #' || k AS abstract,
@@ -288,7 +291,7 @@ _ABS = f"""{_BASE}, per AS (SELECT l_orderkey, string_agg(DISTINCT p_type, '; '
 def abstract_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     number = F.when(k % 10 == 3, k + 100000000).otherwise(k)
-    ids = A.order_rows(spark, sf_dir).filter((k % 4 == 0) | (k % 10 == 3)).select(k.alias("position"), F.concat(F.lit("https://doi.org/10.5555/ord."), number.cast("string")).alias("id"))
+    ids = A.order_rows(spark, sf_dir).select(k.alias("position"), F.concat(F.lit("https://doi.org/10.5555/ord."), number.cast("string")).alias("id"))
     found = enrich.lookup_abstracts(ids, A.abstract_documents(spark, sf_dir), include=("keywords", "references"))
     return found.select(*[c for c in found.columns if c != "references"], F.size("references").cast("long").alias("n_references"))
 
