@@ -156,8 +156,8 @@ def secrets_digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with every span found replaced by its kind in angle brackets, and the length told anew."""
-    result = cut(findings(cut(scan_blobs(docs, None, rules, text_col)), rules)).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    joined = docs.withColumn("_blob", address(F.col(text_col))).join(result, "_blob", "left")
+    result = cut(findings(cut(scan_blobs(docs, None, rules, text_col)), rules)).select(F.col("blob").alias("__litlode_blob"), F.col("spans").alias("__litlode_spans"))
+    joined = docs.withColumn("__litlode_blob", address(F.col(text_col))).join(result, "__litlode_blob", "left")
     text = F.col(text_col)
 
     def step(state: Column, s: Column) -> Column:
@@ -165,10 +165,10 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
         out = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, out).otherwise(state["out"]).alias("out"))
 
-    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    found = F.col("_spans").isNotNull()
-    done = joined.withColumn("_clean", F.when(found, clean).otherwise(text))
-    columns = {text_col: F.col("_clean")}
+    clean = F.aggregate("__litlode_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    found = F.col("__litlode_spans").isNotNull()
+    done = joined.withColumn("__litlode_clean", F.when(found, clean).otherwise(text))
+    columns = {text_col: F.col("__litlode_clean")}
     if chars_col in docs.columns:
-        columns[chars_col] = F.when(found, F.length("_clean").cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
+        columns[chars_col] = F.when(found, F.length("__litlode_clean").cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
     return done.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])

@@ -195,4 +195,4 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     if found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept.select(*df.columns)
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    return kept.withColumn("_first", first).filter((F.col("_first") == 1) | F.col(id_col).isNull()).select(*df.columns)
+    return kept.withColumn("__litlode_first", first).filter((F.col("__litlode_first") == 1) | F.col(id_col).isNull()).select(*df.columns)

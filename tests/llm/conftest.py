@@ -16,7 +16,7 @@ def documents(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string, n_chars long")
-    extra = {c: F.lit("x") for c in ("fp", "ids", "decoded", "node", "blob", "spans", "length", "score", "evidence", "host", "path", "part", "y", "bucket")}
+    extra = {c: F.lit("x") for c in ("fp", "ids", "decoded", "node", "blob", "spans", "length", "score", "evidence", "host", "path", "part", "y", "bucket", "_blob", "_spans", "_clean", "_first", "h", "p", "row")}
     return df.withColumns(extra).repartition(3).cache()
 
 

@@ -59,10 +59,13 @@ def test_ledger_scans_only_what_it_lacks(spark, tmp_path):
     assert spans(more)[2] is None  # the older version of the rule found nothing
 
 
-def test_redact(spark):
-    df = spark.createDataFrame([(1, "a password=abcdefgh1 b", 22, "x"), (2, "none", 4, None), (3, None, None, None)], "doc_id long, text string, n_chars long, blob string")
+def test_redact(spark, documents):
+    whole = secrets.redact(documents)
+    assert whole.columns == documents.columns and whole.count() == documents.count() and secrets.redact(documents.limit(0)).count() == 0
+    df = spark.createDataFrame([(1, "a password=abcdefgh1 b", 22, "x"), (2, "none", 4, None), (3, None, None, None)], "doc_id long, text string, n_chars long, blob string").selectExpr("*", "'y' as _blob", "1 as _spans")
     rows = {r.doc_id: r for r in secrets.redact(df).collect()}
     assert (rows[1].text, rows[1].n_chars, rows[1].blob) == ("a <ASSIGN> b", 12, "x")
+    assert rows[1]._blob == "y"
     assert (rows[2].text, rows[3].text, rows[3].n_chars) == ("none", None, None)
 
 
