@@ -110,5 +110,16 @@ SELECT conv_id, (p.k - 1) // 64 AS segment, kept.n AS n_turns, n_copies, string_
 FROM kept JOIN p USING (conv_id) GROUP BY ALL"""
 
 
+#: Every pair compared; the forest's result is held to it, links missed included.
+_OP8 = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+fine AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v LEFT JOIN degree ON degree.a = vec_id JOIN least ON least.a = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_snapshot_collapse": _OP2, "op7_secret_ledger": _OP7}
+    return {"op2_snapshot_collapse": _OP2, "op7_secret_ledger": _OP7, "op8_projection_forest": _OP8}
