@@ -90,7 +90,7 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
     ``order`` are the columns that tell pieces apart; rows that are equal in them are dealt in any order.
     """
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # a row for each length up to the capacity
-    salts = max(64, -(-max(counts.values(), default=0) // RANK_ROWS))
+    salts = max(16, -(-max(counts.values(), default=0) // RANK_ROWS))
     places = _places(minimum_bin_slack(counts, capacity))
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     before = salted.groupBy("length", "_salt").count()
