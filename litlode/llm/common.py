@@ -11,7 +11,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast; the count is taken before the choice.
@@ -47,6 +47,28 @@ def small_side(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
+def keep_least(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``df`` for each component of ``found(doc_id, text_hash, component)``, which is materialised.
+
+    The row with the least id stays, null ids last, and of rows that share an id the one with the least
+    text_hash, which is xxhash64 of the text. The rows to drop are broadcast only if they are few; only
+    rows that repeat a survivor are shuffled to leave one of them.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_hash")
+    first = found.groupBy("component").agg(F.min(order).alias("first"))
+    marked = found.join(first, "component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
+    pairs = cut(marked.groupBy(F.col("doc_id").alias("__litlode_id"), F.col("text_hash").alias("__litlode_hash"), "stays").count())
+    same = df[id_col].eqNullSafe(F.col("__litlode_id")) & (F.xxhash64(df[text_col]) == F.col("__litlode_hash"))
+    drop = pairs.filter("not stays").select("__litlode_id", "__litlode_hash")
+    twice = pairs.filter("stays and count > 1").select("__litlode_id", "__litlode_hash")
+    if twice.isEmpty():
+        return df.join(small_side(drop), same, "left_anti").select(*df.columns)
+    once = df.join(small_side(drop.union(twice)), same, "left_anti").select(*df.columns)
+    number = F.row_number().over(Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0)))
+    repeated = df.join(small_side(twice), same, "left_semi").withColumn("__litlode_first", number).filter("__litlode_first = 1")
+    return once.union(repeated.select(*df.columns))
+
+
 _SHIPPED: set[str] = set()
 #: Rows of an Arrow batch of texts, where the session has Spark's default: ten times as many fill a small executor.
 BATCH_ROWS, _BATCH = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"

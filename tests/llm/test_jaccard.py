@@ -1,0 +1,82 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+from litlode.llm import jaccard, simhash
+
+SF = "/root/testdata/sf0.1"
+
+
+def shingles(text):
+    words = (text or "").encode().translate(simhash._LOWER).split()
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def survivors(rows):
+    """Ids that stay, by comparing every pair of different sets."""
+    sets = [shingles(t) for _, t in rows]
+    distinct = sorted(set(sets), key=lambda s: (len(s), sorted(s)))
+    parent = {s: s for s in distinct}
+
+    def find(s):
+        while parent[s] is not s:
+            s = parent[s]
+        return s
+
+    for k, s in enumerate(distinct):
+        for o in distinct[:k]:
+            shared = len(s & o) if 5 * len(o) >= 4 * len(s) else 0
+            if shared and 5 * shared >= 4 * (len(s) + len(o) - shared):
+                a, b = find(s), find(o)
+                parent[a] = b
+    first = {}
+    for (k, _), s in zip(rows, sets, strict=True):
+        root = find(parent[s])
+        first[root] = min(k, first.get(root, k))
+    return sorted(first.values())
+
+
+def made_up():
+    rnd, rows = random.Random(3), []
+    for _ in range(40):
+        base = [f"w{rnd.randrange(3000)}" for _ in range(rnd.choice([3, 6, 30, 80, 300]))]
+        for _ in range(6):
+            words = list(base)
+            for _ in range(rnd.randrange(4)):
+                words[rnd.randrange(len(words))] = f"x{rnd.randrange(9000)}"
+            rows.append(" ".join([*words, *["a line that very many of these texts share"] * rnd.randrange(2)]))
+    return list(enumerate([*rows, None, "", " \n", "One", "one", "a b c d e"]))
+
+
+@pytest.mark.parametrize("cell_rows", [4096, 3])
+def test_stage_against_every_pair(spark, cell_rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rows = made_up()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == survivors(rows)
+
+
+def test_stage_drops_near_copies_of_the_given_table(spark):
+    """0 and 7818 differ in more than 3 bits."""
+    df = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id in (0, 1, 2465, 5733, 7818)")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, SF).collect()) == survivors(rows)
+    assert 5733 not in survivors(rows)
+
+
+def test_odd_rows(spark, empty):
+    assert jaccard.keep_first(empty).count() == 0
+    rows = [(3, "b b b"), (5, "a a a"), (5, "b b b"), (7, "a a a"), (None, "c c c"), (None, "c c c"), (8, "d"), (8, "d"), (None, None), (9, "")]
+    kept = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([(3, "b b b"), (5, "a a a"), (None, "c c c"), (8, "d"), (9, "")], kept.schema).collect()))
+
+
+def test_long_text_by_segments(monkeypatch):
+    text = " ".join(f"w{k % 97} X{k % 31}" for k in range(3000)).encode()
+    whole = jaccard.shingle_sets([text])[0]
+    assert len(whole) == len(shingles(text.decode()))
+    monkeypatch.setattr(jaccard, "SEGMENT", 50)
+    assert jaccard.shingle_sets([text])[0].tolist() == whole.tolist()
