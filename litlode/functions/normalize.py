@@ -82,15 +82,3 @@ def thousands(n: Column) -> Column:
 def four_digit_runs(x: Column) -> Column:
     """Runs of digits that are just four long."""
     return F.regexp_extract_all(x, F.lit("(?<![0-9])([0-9]{4})(?![0-9])"), 1)
-
-
-def long_date(stamp: Column) -> Column:
-    return F.date_format(stamp, "d MMMM yyyy")
-
-
-def utc_stamp(stamp: Column) -> Column:
-    return F.concat(F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
-
-
-def plan_hash(*parts: Column) -> Column:
-    return F.sha2(F.concat_ws("\u001f", *[F.coalesce(p.cast("string"), F.lit("\u0000")) for p in parts]), 256)

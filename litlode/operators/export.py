@@ -11,9 +11,9 @@ from litlode.functions import normalize as N
 def bibtex_keys(records: DataFrame) -> DataFrame:
     """Adds ``key``: unique; later uses of a key get a to z, then numbers, in order of entry."""
     base = N.bibtex_key(F.col("authors"), F.col("year"), F.col("scopus_id"))
-    use = F.row_number().over(Window.partitionBy("_base").orderBy("entry_number")) - 1
-    suffix = F.when(F.col("_use") == 0, "").when(F.col("_use") <= 26, F.char(F.lit(96) + F.col("_use"))).otherwise(F.col("_use").cast("string"))
-    return records.withColumn("_base", base).withColumn("_use", use).withColumn("key", F.concat("_base", suffix)).drop("_base", "_use")
+    use = F.row_number().over(Window.partitionBy("__litlode_base").orderBy("entry_number")) - 1
+    suffix = F.when(F.col("__litlode_use") == 0, "").when(F.col("__litlode_use") <= 26, F.char(F.lit(96) + F.col("__litlode_use"))).otherwise(F.col("__litlode_use").cast("string"))
+    return records.withColumn("__litlode_base", base).withColumn("__litlode_use", use).withColumn("key", F.concat("__litlode_base", suffix)).drop("__litlode_base", "__litlode_use")
 
 
 def _entry(keyed: DataFrame) -> Column:

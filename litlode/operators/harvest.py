@@ -7,6 +7,8 @@ from collections.abc import Callable
 from datetime import UTC, datetime
 from functools import reduce
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ class CellStore:
             manifest = self.spark.read.schema(_MANIFEST).json(f"{folder}/manifest").first()
             rows = self.spark.read.parquet(f"{folder}/rows")
             readable = manifest is not None and rows.count() == manifest["n_records"]
-        except Exception as e:  # a damaged file in whatever way: the cell is fetched again
+        except (PySparkException, Py4JError) as e:  # what readers raise for a damaged file: the cell is fetched again
             warnings.warn(f"cell {cell.cell}: its checkpoint cannot be read ({type(e).__name__}); fetched again", stacklevel=2)
             return None
         if not readable or any(c not in rows.columns for c in RECORD_COLUMNS):
@@ -101,10 +103,10 @@ def fetch_plan(corpus: Corpus, plan: SearchPlan, cache_dir: str | None = None, r
             if total is not None and n < total:
                 warnings.warn(f"cell {cell.cell}: {n} of {total} reported records", stacklevel=2)
             totals.append((cell.cell, cell.date, n, total))
-        frames.append(rows.withColumn("_cell", F.lit(cell.cell)).withColumnRenamed("entry_number", "_was"))
+        frames.append(rows.withColumn("__litlode_cell", F.lit(cell.cell)).withColumnRenamed("entry_number", "__litlode_was"))
     if frames:
         stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-        df = number_rows(stacked, "_cell", "_was").drop("_cell", "_was")
+        df = number_rows(stacked, "__litlode_cell", "__litlode_was").drop("__litlode_cell", "__litlode_was")
         df = df.select(*RECORD_COLUMNS, *[c for c in df.columns if c not in RECORD_COLUMNS])
     else:
         df = spark.createDataFrame([], RECORD)
@@ -125,20 +127,28 @@ def harvest_frame(corpus: Corpus, plan: SearchPlan) -> DataFrame:
     if plan.partition == "year":
         held = corpus.df.filter(F.col("year").isin(*plan.years)).filter(corpus.matches(plan.wrapped_query))
         shown = F.concat(F.lit(f"{plan.wrapped_query} AND PUBYEAR IS "), F.col("year").cast("string"))
-        rows = held.withColumn("query", shown).withColumn("_cell", F.col("year"))
+        rows = held.withColumn("query", shown).withColumn("__litlode_cell", F.col("year"))
     else:
-        rows = cell_rows(corpus, cells[0]).withColumn("_cell", F.lit(1))
-    return number_rows(rows.withColumnRenamed("entry_number", "_was"), "_cell", "_was").select(*RECORD_COLUMNS)
+        rows = cell_rows(corpus, cells[0]).withColumn("__litlode_cell", F.lit(1))
+    return number_rows(rows.withColumnRenamed("entry_number", "__litlode_was"), "__litlode_cell", "__litlode_was").select(*RECORD_COLUMNS)
 
 
-def cell_totals(corpus: Corpus, plan: SearchPlan, unreported: tuple[int, ...] = ()) -> DataFrame:
-    """(cell, date, n_records, reported_total) of a plan by year, in one scan; cells in ``unreported`` have no total."""
+def cell_totals(corpus: Corpus, plan: SearchPlan, unreported: tuple[int, ...] = (), reported: DataFrame | None = None) -> DataFrame:
+    """(cell, date, n_records, reported_total) of a plan by year, in one scan; cells in ``unreported`` have no total.
+
+    ``reported`` (year, n) is what the source itself says that it has, such as a trend over it; by
+    default it is what was counted here. A cell that got fewer is incomplete. Both are a row for each year of the plan.
+    """
     spark = corpus.df.sparkSession
     held = corpus.df.filter(F.col("year").isin(*plan.years)).filter(corpus.matches(plan.wrapped_query)).groupBy("year").agg(F.count("*").alias("n"))
     cells = spark.createDataFrame([(c.cell, c.date, c.year) for c in plan.cells()], "cell INT, date STRING, year INT")
-    n = F.coalesce("n", F.lit(0)).cast("long")
-    total = F.when(~F.col("cell").isin(*unreported) if unreported else F.lit(True), n)
-    return cells.join(F.broadcast(held), "year", "left").select("cell", "date", n.alias("n_records"), total.alias("reported_total"))
+    rows = cells.join(F.broadcast(held), "year", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    if reported is None:
+        rows = rows.withColumn("total", F.col("n"))
+    else:
+        rows = rows.join(F.broadcast(reported.filter(F.col("year").isin(*plan.years)).select("year", F.col("n").cast("long").alias("total"))), "year", "left")
+    total = F.when(~F.col("cell").isin(*unreported) if unreported else F.lit(True), F.col("total"))
+    return rows.select("cell", "date", F.col("n").alias("n_records"), total.alias("reported_total"))
 
 
 def total_results(totals: DataFrame) -> DataFrame:

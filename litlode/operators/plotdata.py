@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litlode.functions import normalize as N
 from litlode.functions import stats
 from litlode.schema import require_columns
 
@@ -16,7 +17,7 @@ def comparison_points(comparison: DataFrame) -> DataFrame:
     lower, upper = stats.wilson(F.col("n"), F.col("reference_n"))
     topic = Window.partitionBy("abridged_query")
     rows = rows.withColumn("lower", lower).withColumn("upper", upper).withColumn("total", F.sum("n").over(topic)).withColumn("is_last", F.col("year") == F.max("year").over(topic))
-    label = F.format_string("%s (n = %s)", F.col("abridged_query"), F.format_number("total", 0))
+    label = F.format_string("%s (n = %s)", F.col("abridged_query"), N.thousands(F.col("total")))
     order = rows.groupBy("abridged_query").agg(F.max("average_comparison_percentage").alias("a"))  # a row for each topic of a chart
     ranked = order.select("abridged_query", F.row_number().over(Window.orderBy(F.desc("a"), "abridged_query")).alias("rank"))
     cap = rows.agg(stats.axis_cap(F.max(F.greatest("comparison_percentage", "upper"))).alias("y_max"))
@@ -40,15 +41,35 @@ def intersection_points(table: DataFrame, highlight: str | None = None) -> DataF
     return joined.select("label", "n", group.alias("grouping"), F.row_number().over(Window.orderBy("n", "label")).alias("rank"), "x_min", "x_max", gap.alias("gap_factor"))
 
 
-def spread_positions(labels: DataFrame, gap: float, value: str = "value", order: str = "position") -> DataFrame:
+#: Least share of the axis between two labels at line ends, and the labels that lines take at most.
+LABEL_GAP, MOST_LABELS = 0.055, 8
+
+
+def labels_fit(n_topics: int) -> bool:
+    """Whether lines are labelled at their ends; otherwise a legend names them."""
+    return n_topics <= MOST_LABELS and (n_topics - 1) * LABEL_GAP <= 1
+
+
+def label_room(tally: DataFrame) -> DataFrame:
+    """(margin) of one row: the share of a bar chart's axis to leave for the widest count; refused for an empty tally."""
+    widest = tally.agg(F.max(F.length(N.thousands(F.col("n")))).alias("w"))
+    return widest.select(F.when(F.col("w").isNull(), F.raise_error("a tally without rows has no chart")).otherwise(0.04 + 0.024 * F.col("w")).alias("margin"))
+
+
+def spread_positions(labels: DataFrame, gap: float, value: str = "value", order: str = "position", top: float | None = None) -> DataFrame:
     """Adds ``spread``: positions pushed up so that each is at least ``gap`` above the one before; for the labels of a chart.
 
     The running rule max(own, last + gap) is a running maximum after j x gap is taken from the j-th.
+    With ``top`` all move down together by what the highest would pass it by.
     """
     by = Window.orderBy(value, order)
-    ranked = labels.withColumn("_r", F.row_number().over(by) - 1)
-    running = F.max(F.col(value) - F.col("_r") * gap).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("spread", running + F.col("_r") * gap).drop("_r")
+    ranked = labels.withColumn("__litlode_r", F.row_number().over(by) - 1)
+    running = F.max(F.col(value) - F.col("__litlode_r") * gap).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    spread = ranked.withColumn("spread", running + F.col("__litlode_r") * gap).drop("__litlode_r")
+    if top is None:
+        return spread
+    highest = F.max("spread").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return spread.withColumn("spread", F.col("spread") - F.greatest(F.lit(0.0), highest - F.lit(float(top))))
 
 
 def free_corner(points: DataFrame, x: str, y: str, xlim: tuple[float, float], ylim: tuple[float, float]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,22 +21,24 @@ def number_rows(df: DataFrame, *order: str, name: str = "entry_number") -> DataF
     """Dense numbers 1..N by ``order``, without gathering all rows in one partition.
 
     The last column of ``order`` is a whole number that is about dense, such as an entry number;
-    those before it take few values, such as the number of a set. Rows are numbered within
-    buckets of BUCKET_KEYS keys, and the counts of the buckets before are added, a row for each
-    bucket. Buckets follow from the keys alone, so both sides of the join see the same ones.
-    Rows equal in the whole key are numbered in any order among themselves.
+    those before it take few values, such as the number of a set. Rows are dealt once, by
+    buckets of BUCKET_KEYS keys; they are numbered within their buckets, and the counts of the
+    buckets before are added, a row for each bucket. Both the rows and the counts read that one
+    exchange: the counts touch every column, so that both sides ask for the same rows and Spark
+    computes ``df`` once. Rows equal in the whole key are numbered in any order among themselves.
     """
     *first, key = order
-    bucketed = df.withColumn("_bucket", F.floor(F.col(key) / BUCKET_KEYS))
-    by = [*first, "_bucket"]
+    by = [*first, "__litlode_bucket"]
+    dealt = df.withColumn("__litlode_bucket", F.floor(F.col(key) / BUCKET_KEYS)).repartition(*by)
+    every = F.xxhash64(*[F.col(f"`{c}`") for c in dealt.columns])
+    sizes = dealt.groupBy(*by).agg(F.count("*").alias("__litlode_n"), F.max(every).alias("__litlode_seen")).filter("__litlode_seen is not null")
     earlier = Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    counts = bucketed.groupBy(*by).count().withColumn("_before", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
-    counts = counts.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(by)], "_before")
-    same = F.lit(True)
-    for k, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_c{k}"))
-    numbered = bucketed.withColumn("_in", F.row_number().over(Window.partitionBy(*by).orderBy(key))).join(counts, same)
-    return numbered.withColumn(name, (F.col("_in") + F.col("_before")).cast("long")).drop("_bucket", "_in", "_before", *[f"_c{k}" for k in range(len(by))])
+    keys = [f"__litlode_c{k}" for k in range(len(by))]
+    counts = sizes.select(*[F.col(c).alias(k) for k, c in zip(keys, by, strict=True)], F.coalesce(F.sum("__litlode_n").over(earlier), F.lit(0)).alias("__litlode_before"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for k, c in zip(keys, by, strict=True)])
+    numbered = dealt.withColumn("__litlode_in", F.row_number().over(Window.partitionBy(*by).orderBy(key))).join(counts, same)
+    number = (F.col("__litlode_in") + F.col("__litlode_before")).cast("long")
+    return numbered.withColumn(name, number).drop("__litlode_bucket", "__litlode_in", "__litlode_before", *keys)
 
 
 def to_records(raw: DataFrame, query: str | None = None, view: str | None = None, order: str = "position") -> DataFrame:
@@ -56,7 +60,7 @@ def to_records(raw: DataFrame, query: str | None = None, view: str | None = None
     ]
     if view == "COMPLETE":
         columns.append(F.nullif(col("authkeywords"), F.lit("")).alias("authkeywords"))
-    numbered = number_rows(raw.select(F.col(order).alias("_order"), *columns), "_order").drop("_order")
+    numbered = number_rows(raw.select(F.col(order).alias("__litlode_order"), *columns), "__litlode_order").drop("__litlode_order")
     return numbered.select(*RECORD_COLUMNS, *(["authkeywords"] if view == "COMPLETE" else []))
 
 
@@ -94,4 +98,4 @@ def replay(records: DataFrame, year: int, n: int | None = None) -> DataFrame:
     require_columns(records, ["entry_number", "year"], "a record set")
     rows = records.filter(F.col("year") == year)
     rows = rows if n is None else rows.orderBy("entry_number").limit(n)
-    return number_rows(rows.withColumnRenamed("entry_number", "_was"), "_was").drop("_was").select(*records.columns)
+    return number_rows(rows.withColumnRenamed("entry_number", "__litlode_was"), "__litlode_was").drop("__litlode_was").select(*records.columns)

@@ -6,12 +6,14 @@ Nothing is claimed that the record set does not carry; what is unknown is said t
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litlode.functions.normalize import four_digit_runs
+from litlode.operators.records import distinct_expressions
 from litlode.plans.plan import SearchPlan
 from litlode.schema import Provenance, RecordSet
 
@@ -21,6 +23,8 @@ PRISMA_S_ITEMS = (
     "Limits and restrictions", "Search filters", "Prior work", "Updates", "Dates of searches", "Peer review", "Total records", "Deduplication",
 )
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+#: Expressions that a report lists at most; it refuses more rather than leave some out.
+MOST_EXPRESSIONS = 100_000
 STYLES = ("report", "markdown", "paragraph")
 
 
@@ -105,7 +109,7 @@ class SearchReport:
             ("View", unknown if p is None else p.view),
             ("Page size", unknown if p is None else str(p.page_size)),
             ("Paging", x.paging or unknown),
-            ("Date searched", x.retrieved_at.strftime("%Y-%m-%d %H:%M:%S UTC") if x.retrieved_at else unknown),
+            ("Date searched", utc_stamp(x.retrieved_at) if x.retrieved_at else unknown),
             ("Software version", x.version or unknown),
             ("Records retrieved", number(self.n_records) if self.n_records is not None else "not run"),
             ("Records reported", number(x.total_results)),
@@ -141,8 +145,21 @@ class SearchReport:
         return self.format()
 
 
-def long_date(stamp) -> str:
-    return f"{stamp.day} {MONTHS[stamp.month - 1]} {stamp.year}"
+def utc_stamp(stamp: datetime) -> str:
+    return f"{stamp.astimezone(UTC):%Y-%m-%d %H:%M:%S} UTC"
+
+
+def long_date(stamp: datetime) -> str:
+    """The day in UTC, in words whatever the locale."""
+    day = stamp.astimezone(UTC)
+    return f"{day.day} {MONTHS[day.month - 1]} {day.year}"
+
+
+def listed_expressions(records: DataFrame, n: int) -> tuple[str, ...]:
+    """All ``n`` expressions of a record set, in order of first appearance; refused beyond MOST_EXPRESSIONS."""
+    if n > MOST_EXPRESSIONS:
+        raise ValueError(f"{n:,} expressions are too many to list; records.distinct_expressions has them as a DataFrame")
+    return tuple(r["query"] for r in distinct_expressions(records).collect())
 
 
 def search_report(x: RecordSet | SearchPlan, plan: SearchPlan | None = None, file: str | None = None, database: str = "the corpus") -> SearchReport:
@@ -155,8 +172,7 @@ def search_report(x: RecordSet | SearchPlan, plan: SearchPlan | None = None, fil
         source, plan = x.provenance, plan or x.provenance.plan
         facts = record_facts(x.df).first()
         n, dois = facts["n_records"], facts["n_with_doi"]
-        known = x.df.filter("query is not null").groupBy("query").agg(F.min("entry_number").alias("e")).orderBy("e").limit(1000).collect()
-        expressions = (plan.wrapped_query,) if plan else tuple(r["query"] for r in known)
+        expressions = (plan.wrapped_query,) if plan else listed_expressions(x.df, facts["n_expressions"])
     else:
         raise ValueError("a report needs a RecordSet or a SearchPlan")
     totals = {t[0]: t for t in source.cell_totals or ()}

@@ -20,30 +20,30 @@ def _stacked(sets: tuple) -> DataFrame:
         raise ValueError("record sets must be DataFrames")
     for f in frames:
         require_columns(f, ["entry_number", "scopus_id", "doi"], "a record set")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.withColumn("_set", F.lit(k)) for k, f in enumerate(frames)])
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.withColumn("__litlode_set", F.lit(k)) for k, f in enumerate(frames)])
 
 
 def merge_key(df: DataFrame) -> DataFrame:
     """Adds ``_key``: the id, else the lowered DOI, else the row's own place, which matches nothing."""
-    own = F.concat_ws(":", F.lit("row"), "_set", "entry_number")
-    return df.withColumn("_key", F.coalesce(F.concat(F.lit("id:"), "scopus_id"), F.concat(F.lit("doi:"), F.lower("doi")), own))
+    own = F.concat_ws(":", F.lit("row"), "__litlode_set", "entry_number")
+    return df.withColumn("__litlode_key", F.coalesce(F.concat(F.lit("id:"), "scopus_id"), F.concat(F.lit("doi:"), F.lower("doi")), own))
 
 
 def combine_frame(*sets, dedupe: bool = False) -> DataFrame:
     """All rows in order of set and entry; with ``dedupe`` the first of each key; numbered anew."""
     rows = _stacked(sets)
-    columns = [c for c in rows.columns if c not in ("_set", "entry_number")]
+    columns = [c for c in rows.columns if c not in ("__litlode_set", "entry_number")]
     if dedupe:
-        first = F.row_number().over(Window.partitionBy("_key").orderBy("_set", "entry_number"))
-        rows = merge_key(rows).withColumn("_rank", first).filter("_rank = 1").drop("_key", "_rank")
-    numbered = number_rows(rows.withColumnRenamed("entry_number", "_was"), "_set", "_was")
+        first = F.row_number().over(Window.partitionBy("__litlode_key").orderBy("__litlode_set", "entry_number"))
+        rows = merge_key(rows).withColumn("__litlode_rank", first).filter("__litlode_rank = 1").drop("__litlode_key", "__litlode_rank")
+    numbered = number_rows(rows.withColumnRenamed("entry_number", "__litlode_was"), "__litlode_set", "__litlode_was")
     return numbered.select("entry_number", *columns)
 
 
 def combine_accounting(*sets, dedupe: bool = False) -> DataFrame:
     """(n_in, n_out, n_removed, deduplicated) of one row."""
     keyed = merge_key(_stacked(sets))
-    n_out = F.count_distinct("_key") if dedupe else F.count("*")
+    n_out = F.count_distinct("__litlode_key") if dedupe else F.count("*")
     return keyed.agg(F.count("*").alias("n_in"), n_out.alias("n_out")).select("n_in", "n_out", (F.col("n_in") - F.col("n_out")).alias("n_removed"), F.lit(dedupe).alias("deduplicated"))
 
 
@@ -58,7 +58,7 @@ def extract_dois(records: DataFrame, dedupe: bool = True, order: str = "entry_nu
     require_columns(records, ["doi", order], "a record set")
     rows = records.select(F.col(order).alias("position"), clean_doi(F.col("doi")).alias("doi")).filter("doi is not null")
     if dedupe:
-        rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(F.lower("doi")).orderBy("position"))).filter("_rank = 1").drop("_rank")
+        rows = rows.withColumn("__litlode_rank", F.row_number().over(Window.partitionBy(F.lower("doi")).orderBy("position"))).filter("__litlode_rank = 1").drop("__litlode_rank")
     return rows
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import re
 import uuid
 from collections.abc import Iterable
 
@@ -11,24 +10,22 @@ from litlode import __version__
 
 #: Requests of a comparison beyond which fewer topics or years are advised.
 MANY_REQUESTS = 80
+LINE_WIDTH = 88
 
 
 def years_code(years: Iterable[int] | None) -> str | None:
-    """An expression for the years: a range if they are contiguous."""
-    years = sorted(set(years or ()))
-    if not years:
+    """The years as code: a range where no year between the first and the last is missing, else a list."""
+    chosen = sorted({*(years or ())})
+    if not chosen:
         return None
-    if len(years) > 1 and years == list(range(years[0], years[-1] + 1)):
-        return f"range({years[0]}, {years[-1] + 1})"
-    return repr(years)
+    stretch = range(chosen[0], chosen[-1] + 1)
+    return repr(stretch if len(stretch) == len(chosen) > 1 else chosen)
 
 
 def call_code(name: str, arguments: list[str]) -> str:
-    """A call on one line if it is short, else one argument a line."""
-    line = ", ".join(arguments)
-    if len(arguments) <= 2 and len(line) <= 60:
-        return f"{name}({line})"
-    return f"{name}(\n" + "".join(f"    {a},\n" for a in arguments) + ")"
+    """A call, wrapped argument by argument where it would pass the line width."""
+    flat = f"{name}({', '.join(arguments)})"
+    return flat if len(flat) <= LINE_WIDTH else "\n".join([f"{name}(", *(f"    {a}," for a in arguments), ")"])
 
 
 def mirror_code(query: str, years=None, field: str | None = None, view: str = "STANDARD", partition: str = "year", by: str = "source", compare_terms: Iterable[str] | None = None, demo: bool = False) -> str:
@@ -41,14 +38,14 @@ def mirror_code(query: str, years=None, field: str | None = None, view: str = "S
     lines += [
         "from litlode.operators import counts, export, harvest, records, report",
         "from litlode.plans.plan import SearchPlan",
-        "from litlode.sources.corpus import Corpus",
+        "from litlode.sources.corpus import Corpus, write_records_csv",
         "",
         "corpus = Corpus.parquet(spark, CORPUS)",
         "plan = " + call_code("SearchPlan", arguments),
         'found = harvest.fetch_plan(corpus, plan, cache_dir="harvest")',
         f"records.top(found.df, by={by!r}).show()",
         "records.year_counts(found.df).show()",
-        'found.df.write.csv("records", header=True)',
+        'write_records_csv(found.df, "records")',
         'export.write_entries(export.bibtex_entries(found.df), "records-bib")',
         'report.search_report(found, file="search-record.md")',
     ]
@@ -59,12 +56,13 @@ def mirror_code(query: str, years=None, field: str | None = None, view: str = "S
 
 
 def parse_progress(log: str) -> tuple[int, int] | None:
-    """(k, N) of the last line "Cell k/N:"; None if there is none, or k is beyond N."""
-    found = re.findall(r"Cell (\d+)/(\d+):", log)
-    if not found:
-        return None
-    k, n = map(int, found[-1])
-    return (k, n) if k <= n else None
+    """(cells done, cells) by the last line that starts "Cell k/N:"; None without one, or where k passes N."""
+    for line in reversed(log.splitlines()):
+        mark, colon, _ = line.partition(":")
+        done, slash, cells = mark.removeprefix("Cell ").partition("/")
+        if mark.startswith("Cell ") and colon and slash and done.isdecimal() and cells.isdecimal():
+            return (int(done), int(cells)) if int(done) <= int(cells) else None
+    return None
 
 
 def request_cost(n_terms: int, n_years: int) -> tuple[int, bool]:

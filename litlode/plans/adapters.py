@@ -94,6 +94,13 @@ def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("entry_number"), F.get(F.split("text", "\n"), F.lit(0)).alias("title"), F.col("text").alias("abstract"), F.col("source").alias("publication"), (F.lit(2000) + F.col("doc_id") % 20).cast("int").alias("year"))
 
 
+def respelt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """abstract_documents, and every seventh of them again under another id, with its DOI in small letters and another title."""
+    whole = abstract_documents(spark, sf_dir)
+    again = whole.filter(F.col("k") % 7 == 0)
+    return whole.union(again.select(*[F.concat(F.lit("copy-"), F.col("k").cast("string")).alias(c) if c == "scopus_id" else F.lower("doi").alias(c) if c == "doi" else F.concat(F.lit("Copy of "), F.col(c)).alias(c) if c == "title" else F.col(c) for c in whole.columns]))
+
+
 def abstract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by order: id, doi, keywords (part types), references (part keys), a reference count that is wrong for some."""
     lines, parts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), table(spark, sf_dir, "part").select("p_partkey", "p_type")

@@ -5,8 +5,8 @@
     atom := "(" expr ")" | TAG "(" expr ")" | PUBYEAR (IS | AFT | BEF) year | "phrase" | words
 
 Matching is case-insensitive. Words that stand side by side must all be in the same column,
-as whole words; a phrase must stand as it is. A tag over several columns matches if any of
-them matches. Missing text matches nothing, and so passes AND NOT.
+as whole words (letters of any script count); a phrase must stand as it is. A DOI must be equal, once
+both are cleaned. A tag over several columns matches if any of them matches. Missing text matches nothing, and so passes AND NOT.
 """
 
 from __future__ import annotations
@@ -18,20 +18,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litlode.functions.normalize import clean_doi
+
 # The field tags and what they cover.
 FIELD_TAGS = {
-    "TITLE": "Words in the title",
-    "TITLE-ABS-KEY": "Words in the title, abstract or keywords",
-    "TITLE-ABS-KEY-AUTH": "Words in the title, abstract, keywords or author names",
-    "ABS": "Words in the abstract",
-    "KEY": "Keywords",
-    "AUTH": "Author names",
-    "AUTHKEY": "Author keywords",
-    "AFFIL": "Affiliation",
-    "AFFILORG": "Affiliated organisation",
-    "SRCTITLE": "Source title",
-    "DOI": "Digital object identifier",
-    "ALL": "All fields",
+    "TITLE": "the title",
+    "TITLE-ABS-KEY": "title, abstract and keywords together",
+    "TITLE-ABS-KEY-AUTH": "as TITLE-ABS-KEY, and who wrote it",
+    "ABS": "the abstract",
+    "KEY": "keywords of any kind",
+    "AUTH": "who wrote it",
+    "AUTHKEY": "keywords that its authors chose",
+    "AFFIL": "where its authors work",
+    "AFFILORG": "the organisation that they work for",
+    "SRCTITLE": "the journal or book that it appeared in",
+    "DOI": "its DOI, whole, however it is written",
+    "ALL": "every column searched",
 }
 TEXT_COLUMNS = ["title", "abstract", "authkeywords", "authors", "publication", "doi"]
 _TAG_COLUMNS = {
@@ -205,10 +207,9 @@ def render(node: Node, inside: str = "") -> str:
 def _holds(column: str, node: Node) -> Column:
     text = F.lower(F.col(column))
     if column == "doi":
-        return F.lower(F.col("doi")).contains(node.value.lower())
-    if node.kind == "phrase":
-        return text.rlike(r"(?<![\w])" + re.escape(node.value.lower()) + r"(?![\w])")
-    return reduce(lambda a, b: a & b, [text.rlike(r"(?<![\w])" + re.escape(w) + r"(?![\w])") for w in node.value.lower().split()])
+        return F.lower(clean_doi(F.col("doi"))) == F.lower(clean_doi(F.lit(node.value)))
+    whole = lambda w: text.rlike(r"(?U)(?<!\w)" + re.escape(w) + r"(?!\w)")
+    return whole(node.value.lower()) if node.kind == "phrase" else reduce(lambda a, b: a & b, map(whole, node.value.lower().split()))
 
 
 def compile_node(node: Node, columns: list[str], scope: list[str] | None = None) -> Column:

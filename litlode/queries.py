@@ -13,6 +13,7 @@ from litlode.operators import records as R
 from litlode.plans import adapters as A
 from litlode.plans.plan import SearchPlan
 from litlode.sources.corpus import Corpus
+from litlode.streaming import harvest as stream
 
 YEARS = tuple(range(1995, 2002))
 TOPICS = ("red", "blue OR hot", '"small widget"')
@@ -99,10 +100,15 @@ def distinct_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.distinct_expressions(A.records(spark, sf_dir))
 
 
-@query("""SELECT 'TITLE-ABS-KEY(the AND NOT (von OR "que la")) AND PUBYEAR AFT 2002 AND PUBYEAR BEF 2016' AS query, count(*) AS n FROM (SELECT lower(text) AS t, 2000 + doc_id % 20 AS y FROM documents)
-  WHERE y BETWEEN 2003 AND 2015 AND regexp_matches(t, '\\bthe\\b') AND NOT (regexp_matches(t, '\\bvon\\b') OR regexp_matches(t, '\\bque la\\b'))""")
+def _anywhere(w: str, column: str = "t") -> str:
+    """A whole word in letters of any script."""
+    return rf"regexp_matches({column}, '(^|[^\p{{L}}\p{{M}}\p{{N}}_]){w}([^\p{{L}}\p{{M}}\p{{N}}_]|$)')"
+
+
+@query(f"""SELECT 'TITLE-ABS-KEY(the AND NOT (von OR "que la")) AND PUBYEAR AFT 1999 AND PUBYEAR BEF 2020' AS query, count(*) AS n FROM (SELECT lower(text) AS t FROM documents)
+  WHERE {_anywhere('the')} AND NOT ({_anywhere('von')} OR {_anywhere('que la')})""")
 def count_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.count(Corpus(A.text_corpus(spark, sf_dir)), 'the AND NOT (von OR "que la")', years=[2003, 2015], field="TITLE-ABS-KEY")
+    return counts.count(Corpus(A.text_corpus(spark, sf_dir)), 'the AND NOT (von OR "que la")', years=[2000, 2019], field="TITLE-ABS-KEY")
 
 
 @query(f"WITH {_LINES} SELECT CAST(y AS INTEGER) AS year, count(title) AS n FROM range(1993, 2003) g(y) LEFT JOIN lines ON year = y AND {_word('widget')} GROUP BY 1")
@@ -285,23 +291,23 @@ _ABS = f"""{_BASE}, per AS (SELECT l_orderkey, string_agg(DISTINCT p_type, '; '
   ids AS (SELECT k AS position, 'https://doi.org/10.5555/ord.' || CASE WHEN k % 10 = 3 THEN k + 100000000 ELSE k END AS id FROM base)"""
 
 
-@query(f"""WITH {_ABS} SELECT position, 'ord-' || k AS scopus_id, coalesce('10.5555/ORD.' || k, id) AS doi, o_orderpriority || ' & ' || c_mktsegment || ' #' || k AS title, 'About ' || o_orderpriority || ' & ' || c_mktsegment || ' #' || k AS abstract,
+@query(f"""WITH {_ABS} SELECT position, CASE WHEN k % 7 = 0 THEN 'copy-' ELSE 'ord-' END || k AS scopus_id, coalesce(CASE WHEN k % 7 = 0 THEN '10.5555/ord.' ELSE '10.5555/ORD.' END || k, id) AS doi, CASE WHEN k % 7 = 0 THEN 'Copy of ' ELSE '' END || o_orderpriority || ' & ' || c_mktsegment || ' #' || k AS title, 'About ' || o_orderpriority || ' & ' || c_mktsegment || ' #' || k AS abstract,
     CASE WHEN k % 101 <> 0 THEN c_mktsegment END AS publication, strftime(o_orderdate, '%Y-%m-%d') AS date, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(floor(o_totalprice / 1000) AS INTEGER) AS citations, kw AS authkeywords, coalesce(refs, 0) AS n_references, CASE WHEN k IS NOT NULL THEN k % 9 = 0 END AS refcount_mismatch
   FROM ids LEFT JOIN base ON id = 'https://doi.org/10.5555/ord.' || k LEFT JOIN per ON l_orderkey = k""")
 def abstract_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     number = F.when(k % 10 == 3, k + 100000000).otherwise(k)
     ids = A.order_rows(spark, sf_dir).select(k.alias("position"), F.concat(F.lit("https://doi.org/10.5555/ord."), number.cast("string")).alias("id"))
-    found = enrich.lookup_abstracts(ids, A.abstract_documents(spark, sf_dir), include=("keywords", "references"))
+    found = enrich.lookup_abstracts(ids, A.respelt_documents(spark, sf_dir), include=("keywords", "references"))
     return found.select(*[c for c in found.columns if c != "references"], F.size("references").cast("long").alias("n_references"))
 
 
 @query(f"""WITH {_ABS} SELECT row_number() OVER (ORDER BY k) AS position, '10.5555/ORD.' || k AS id, o_orderpriority || ' & ' || c_mktsegment || ' #' || k AS title, CAST(year(o_orderdate) AS INTEGER) AS year, coalesce(replace(kw, '; ', '|'), '') AS keywords, coalesce(refs, 0) AS n_references
-  FROM base LEFT JOIN per ON l_orderkey = k WHERE k % 3 <> 0""")
+  FROM base LEFT JOIN per ON l_orderkey = k""")
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = A.abstract_documents(spark, sf_dir)
-    rec = documents.select((F.col("k") + 1).alias("entry_number"), F.when(F.col("k") % 3 != 0, F.col("doi")).alias("doi"), "title", "year")
-    ids = R.number_rows(rec.filter("doi is not null").select("entry_number", "doi"), "entry_number", name="position").select("position", F.col("doi").alias("id"))
+    rec = documents.select((F.col("k") + 1).alias("entry_number"), "doi", "title", "year")
+    ids = R.number_rows(rec.select("entry_number", "doi"), "entry_number", name="position").select("position", F.col("doi").alias("id"))
     nested = enrich.corpus_table(rec, enrich.lookup_abstracts(ids, documents, include=("keywords", "references")))
     return nested.select("position", "id", "title", "year", F.array_join("keywords", "|").alias("keywords"), F.size("references").cast("long").alias("n_references"))
 
@@ -343,9 +349,13 @@ def report_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.report_facts(harvest.harvest_frame(rec, PLAN), harvest.cell_totals(rec, PLAN, unreported=(4,)))
 
 
-@query(f"{_TOTALS.format(4)} SELECT cell, cells.date, cells.query, n_records, reported_total, CASE WHEN reported_total IS NULL THEN 'unknown' ELSE 'complete' END AS state FROM totals JOIN cells USING (cell)")
+@query(f"""WITH {_REC}, {_HELD}, {_CELLS}, totals AS (SELECT cell, c.date, c.query, count(held.doi) AS n_records, CASE WHEN cell <> 4 THEN count(held.year) END AS reported_total FROM cells c LEFT JOIN held ON c.year = held.year GROUP BY cell, c.date, c.query)
+  SELECT *, CASE WHEN reported_total IS NULL THEN 'unknown' WHEN n_records < reported_total THEN 'incomplete' ELSE 'complete' END AS state FROM totals""")
 def report_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = harvest.cell_totals(Corpus(A.records(spark, sf_dir)), PLAN, unreported=(4,))
+    """A harvest of a source that gives out records with a DOI only, held against the source's own counts."""
+    whole = Corpus(A.records(spark, sf_dir))
+    said = counts.trend(whole, PLAN.query, PLAN.years, PLAN.field)
+    totals = harvest.cell_totals(Corpus(whole.df.filter("doi is not null")), PLAN, unreported=(4,), reported=said)
     return report.report_cells(harvest.plan_cells(spark, PLAN), totals)
 
 
@@ -354,12 +364,21 @@ def prisma_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.prisma_map(spark, has_expression=True, has_plan=True, has_stamp=False, was_run=True, has_dedupe=False)
 
 
-@query()
+@query(f"""{_SETS}, kept AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY key ORDER BY s, entry_number) = 1),
+  f AS (SELECT format('{{:,}}', (SELECT count(*) FROM keyed)) AS n_in, format('{{:,}}', count(*)) AS n, format('{{:,}}', count(doi)) AS dois, format('{{:,}}', (SELECT count(*) FROM keyed) - count(*)) AS gone FROM kept)
+  SELECT unnest([{{label: 'Database', value: 'the corpus'}}, {{label: 'Search expression', value: 'TITLE(HOUSEHOLD OR BUILDING)'}}, {{label: 'Field tag', value: 'TITLE'}}, {{label: 'Years', value: '1995 to 2001'}}, {{label: 'Partition', value: 'year'}}, {{label: 'Cells', value: '7'}},
+    {{label: 'View', value: 'STANDARD'}}, {{label: 'Page size', value: '200'}}, {{label: 'Paging', value: 'not recorded'}}, {{label: 'Date searched', value: 'not recorded'}}, {{label: 'Software version', value: 'not recorded'}}, {{label: 'Records retrieved', value: n}}, {{label: 'Records reported', value: 'not recorded'}},
+    {{label: 'Completeness', value: 'not recorded'}}, {{label: 'Records with a DOI', value: dois || ' of ' || n}}, {{label: 'Duplicates removed', value: gone || ' of ' || n_in}}], recursive := true) FROM f""")
 def report_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = sets.combine(*_sets(spark, sf_dir), dedupe=True)
     return spark.createDataFrame(report.search_report(merged, PLAN).pairs(), "label STRING, value STRING")
 
 
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.event_counts(A.table(spark, sf_dir, "events"))
+
+
 @query(f"WITH {_REC} SELECT author, CAST(count(DISTINCT year) AS BIGINT) AS years, min(year) AS first_year, max(year) AS last_year FROM (SELECT year, trim(unnest(string_split(authors, ';'))) AS author FROM rec) WHERE author <> '' GROUP BY 1")
 def author_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.records(spark, sf_dir).select("year", F.explode(split_list(F.col("authors"))).alias("author"))

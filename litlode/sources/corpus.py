@@ -34,9 +34,17 @@ class Corpus:
         return df.filter(self.matches(query))
 
 
-def read_records_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Records from CSV with a header, in the fixed schema, so that ids stay strings."""
-    return spark.read.csv(path, header=True, schema=RECORD, quote='"', escape='"', mode="FAILFAST")
+def read_records_csv(spark: SparkSession, path: str, line_feeds: bool = False) -> DataFrame:
+    """Records from CSV with a header, in the fixed schema, so that ids stay strings.
+
+    Quoted fields may hold commas and doubled quotes; with ``line_feeds`` line feeds too, and then files aren't split.
+    """
+    return spark.read.csv(path, header=True, schema=RECORD, quote='"', escape='"', mode="FAILFAST", multiLine=line_feeds)
+
+
+def write_records_csv(records: DataFrame, path: str) -> None:
+    """Records as CSV that read_records_csv reads, a folder of part files."""
+    records.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 
 
 # Records per year, 2015 to 2024, of the example corpus.

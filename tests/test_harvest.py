@@ -1,13 +1,13 @@
 import warnings
 from dataclasses import replace
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta, timezone
 
 import pytest
 
 from litlode.operators import enrich, harvest, report, workbench
 from litlode.operators import records as R
 from litlode.plans.plan import SearchPlan
-from litlode.schema import REFERENCE_FIELDS, Combined, Provenance, RecordSet
+from litlode.schema import REFERENCE_FIELDS, Combined, ForbiddenError, Provenance, RecordSet
 from litlode.sources.corpus import Corpus, example_records
 from litlode.streaming.harvest import harvest_stream
 
@@ -65,6 +65,23 @@ def test_totals(spark, corpus):
     assert harvest.total_results(harvest.totals_frame(spark, Provenance())).first()[0] is None
 
 
+def test_totals_of_a_source_that_has_more(spark, corpus):
+    said = spark.createDataFrame([(2015, 20), (2016, 9)], "year int, n bigint")
+    totals = harvest.cell_totals(corpus, PLAN, reported=said)
+    assert sorted(map(tuple, totals.collect())) == [(1, "2015", 15, 20), (2, "2016", 9, 9)]
+    assert [r.state for r in report.report_cells(harvest.plan_cells(spark, PLAN), totals).orderBy("cell").collect()] == ["incomplete", "complete"]
+
+
+def test_many_expressions_and_stamps(spark, monkeypatch):
+    df = spark.range(1, 1501).selectExpr("id as entry_number", "cast(null as string) as scopus_id", "cast(null as string) as doi", "2000 as year", "concat('q', id) as query")
+    assert report.search_report(RecordSet(df)).expressions == tuple(f"q{k}" for k in range(1, 1501))
+    monkeypatch.setattr(report, "MOST_EXPRESSIONS", 1499)
+    with pytest.raises(ValueError, match="1,500"):
+        report.search_report(RecordSet(df))
+    late = datetime(2026, 1, 1, 3, 30, tzinfo=timezone(timedelta(hours=9)))
+    assert (report.utc_stamp(late), report.long_date(late)) == ("2025-12-31 18:30:00 UTC", "31 December 2025")
+
+
 def test_report(spark, corpus, tmp_path):
     plan = SearchPlan("sample", years=range(2015, 2025), field="TITLE", partition="year")
     found = harvest.fetch_plan(corpus, plan)
@@ -106,6 +123,56 @@ def test_enrichment(spark):
     assert sorted(tuple(r) for r in pairs.collect()) == [("a", "b", 2), ("a", "c", 1), ("b", "c", 1)]
 
 
+def test_one_row_for_each_id(spark):
+    docs = spark.createDataFrame([("2", "10/A", "later"), ("1", "10/a", "first"), (None, "10/a", "none")], "scopus_id string, doi string, title string")
+    ids = spark.createDataFrame([(1, "10/a"), (2, "10/A"), (3, None)], "position int, id string")
+    assert [(r.position, r.title) for r in enrich.lookup_abstracts(ids, docs).orderBy("position").collect()] == [(1, "first"), (2, "first"), (3, None)]
+
+
+def test_retrieval_resumes_and_stops(spark, tmp_path):
+    docs = spark.createDataFrame([("1", "10/a", "one"), ("2", "10/b", "two"), ("3", "10/c", "three")], "scopus_id string, doi string, title string")
+    ids = lambda *x: spark.createDataFrame(list(enumerate(x)), "position int, id string")
+    asked = []
+
+    def source(keys):
+        asked.append(sorted(r.key for r in keys.collect()))
+        return docs
+
+    got = enrich.retrieve_abstracts(ids("10/A", "10/zz", "10/a"), source, cache_dir=str(tmp_path))
+    assert [r.title for r in got.df.orderBy("position").collect()] == ["one", None, "one"] and (got.n_requests, got.n_cached, got.n_missing) == (2, 0, 1)
+    again = enrich.retrieve_abstracts(ids("10/a", "10/b", "10/zz"), source, cache_dir=str(tmp_path))
+    assert [r.title for r in again.df.orderBy("position").collect()] == ["one", "two", None] and (again.n_requests, again.n_cached, again.n_missing) == (2, 1, 1)
+    assert asked == [["10/a", "10/zz"], ["10/b", "10/zz"]]
+    richer = enrich.retrieve_abstracts(ids("10/a"), source, include=("keywords",), cache_dir=str(tmp_path))
+    assert richer.n_requests == 1 and "authkeywords" in richer.df.columns
+    fresh = enrich.retrieve_abstracts(ids("10/a"), source, cache_dir=str(tmp_path), resume=False)
+    assert fresh.n_requests == 1 and fresh.df.first().title == "one"
+
+    def refuse(keys):
+        raise PermissionError("403")
+
+    with pytest.raises(ForbiddenError, match="1 keys are left"):
+        enrich.retrieve_abstracts(ids("10/a", "10/c"), refuse, cache_dir=str(tmp_path))
+    for part in (tmp_path / "doi").glob("*.parquet"):
+        part.write_bytes(b"no Parquet")
+    for crc in (tmp_path / "doi").glob(".*.crc"):
+        crc.unlink()
+    with pytest.warns(UserWarning, match="can't be read"):
+        assert enrich._stored(spark, str(tmp_path / "doi")) is None
+
+
+def test_records_without_ids(spark):
+    rec = spark.createDataFrame([(1, None), (2, "10/a")], "entry_number bigint, doi string")
+    with pytest.warns(UserWarning, match="1 records without a doi"):
+        assert enrich.usable_ids(rec).count() == 1
+    with pytest.raises(ValueError, match="no record"):
+        enrich.usable_ids(rec.filter("doi is null"))
+
+
+def test_session_folders_differ():
+    assert workbench.session_folder("/x/") != workbench.session_folder("/x") and workbench.session_folder("/x/").startswith("/x/")
+
+
 def test_workbench(capsys):
     assert [workbench.years_code(y) for y in ([2015, 2016, 2017], [2015], [2015, 2017], None)] == ["range(2015, 2018)", "[2015]", "[2015, 2017]", None]
     code = workbench.mirror_code("x y", [2015, 2016], "TITLE", compare_terms=["a", " "])
@@ -120,8 +187,9 @@ def test_stream(spark, corpus, tmp_path):
     src, target, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
     rows = corpus.df
     rows.filter("entry_number <= 50").write.parquet(src)
-    harvest_stream(spark, src, rows.schema, "TITLE(sample)", target, ck)
+    assert harvest_stream(spark, src, rows.schema, "TITLE(sample)", target, ck) == 50
     assert spark.read.parquet(target).count() == 50
     rows.filter("entry_number > 40").write.mode("append").parquet(src)
-    harvest_stream(spark, src, rows.schema, "TITLE(sample)", target, ck)
-    assert spark.read.parquet(target).filter("doi is not null").count() == 127
+    added = harvest_stream(spark, src, rows.schema, "TITLE(sample)", target, ck)
+    assert spark.read.parquet(target).filter("doi is not null").count() == 127 and spark.read.parquet(target).count() == 50 + added
+    assert harvest_stream(spark, src, rows.schema, "TITLE(sample)", target, ck) == 0

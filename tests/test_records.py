@@ -5,7 +5,7 @@ from litlode.functions import normalize as N
 from litlode.operators import export, plotdata, sets
 from litlode.operators import records as R
 from litlode.schema import RECORD
-from litlode.sources.corpus import example_records, read_records_csv
+from litlode.sources.corpus import example_records, read_records_csv, write_records_csv
 
 
 def records(spark, rows):
@@ -66,6 +66,21 @@ def test_csv_round_trip(spark, tmp_path):
     assert back.schema == RECORD and back.exceptAll(ex).count() == 0 and back.count() == 138
 
 
+def test_csv_quoting(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('entry_number,scopus_id,doi,title,authors,year,date,publication,citations,query\n1,0012,10/a,"One, ""two""\nthree",A;B,2020,,J,,q\n')
+    (row,) = read_records_csv(spark, str(tmp_path / "q.csv"), line_feeds=True).collect()
+    assert (row.scopus_id, row.title, row.year, row.citations) == ("0012", 'One, "two"\nthree', 2020, None)
+    write_records_csv(records(spark, [rec(1, "10/a", "007", title='a, "b"')]), str(tmp_path / "w"))
+    assert read_records_csv(spark, str(tmp_path / "w")).first().title == 'a, "b"'
+
+
+def test_callers_columns_stay(spark):
+    names = ("_set", "_key", "_rank", "_bucket", "_in", "_before", "_was", "_base", "_use", "_c0")
+    df = records(spark, [rec(1, "10/a", authors="A", year=2000), rec(2, "10/A", authors="A", year=2000)]).withColumns({n: F.lit("mine") for n in names})
+    for out in (sets.combine_frame(df, df, dedupe=True), R.replay(df, 2000), export.bibtex_keys(df)):
+        assert all(row[n] == "mine" for row in out.collect() for n in names)
+
+
 def test_escape_and_keys(spark):
     df = spark.createDataFrame([("a & b % $ # _ { } ~ ^ \\ z",), (None,)], "x string").select(N.bibtex_escape(F.col("x")).alias("y"))
     assert [r.y for r in df.collect()] == [r"a \& b \% \$ \# \_ \{ \} \textasciitilde{} \textasciicircum{} \textbackslash{} z", None]
@@ -82,6 +97,9 @@ def test_escape_and_keys(spark):
 def test_positions_and_corner(spark):
     df = spark.createDataFrame([(0, 10.0), (1, 10.1), (2, 10.2)], "position int, value double")
     assert [round(r.spread, 6) for r in plotdata.spread_positions(df, 1.0).orderBy("position").collect()] == [10, 11, 12]
+    assert [round(r.spread, 6) for r in plotdata.spread_positions(df, 1.0, top=11.5).orderBy("position").collect()] == [9.5, 10.5, 11.5]
+    assert plotdata.labels_fit(8) and not plotdata.labels_fit(9)
+    assert plotdata.label_room(spark.createDataFrame([("a", 1234567), ("b", 2)], "value string, n bigint")).first()[0] == pytest.approx(0.04 + 0.024 * 9)
     points = spark.createDataFrame([(0.0, 1.0), (0.1, 0.9)], "x double, y double")
     assert plotdata.free_corner(points, "x", "y", (0, 1), (0, 1)).first()[0] == "lower right"
     assert plotdata.free_corner(points, "x", "y", (0, 0), (0, 1)).first()[0] == "upper left"
