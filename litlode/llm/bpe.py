@@ -38,8 +38,8 @@ MASK = (1 << 9) - 1
 LEAST_CHUNK, MOST_CHUNK = 64, 8192
 #: Bounds of a worker's stores: words in each of two generations, and bytes of encoded chunks.
 MOST_WORDS, MOST_STORE = 150_000, 16 << 20
-#: Bytes of text that are encoded, and sent on, at a time.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that are encoded, and sent on, at a time; bytes that are hashed at a time; longest word that is merged here.
+SLICE_BYTES, HASHED, PLAIN = 4 << 20, 1 << 17, 40
 
 _GEAR = np.random.default_rng(20240501).integers(0, 1 << 63, 256, dtype=np.uint64)
 _BLANK, _ALNUM, _UPPER = (np.array([bytes([c]) in x for c in range(256)]) for x in ([b" ", b"\t", b"\n", b"\v", b"\f", b"\r"], [bytes([c]) for c in range(128) if chr(c).isalnum()], [bytes([c]) for c in range(65, 91)]))
@@ -48,16 +48,18 @@ _STEP = 0x9E3779B97F4A7C15
 
 def cut_points(data: np.ndarray) -> np.ndarray:
     """Places of ``data`` after which a chunk ends: the hash of the last WINDOW bytes decides."""
-    if len(data) < WINDOW:
-        return np.empty(0, dtype=np.int64)
-    h = _GEAR[data]
-    span = 1
-    while span < WINDOW:  # h[i] covers the span bytes up to i; twice as many in each turn
-        wider = h.copy()
-        wider[span:] += h[:-span] * np.uint64(pow(_STEP, span, 1 << 64))
-        h, span = wider, span * 2
-    found = np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0)
-    found = found[found >= WINDOW - 1]
+    places = [np.empty(0, dtype=np.int64)]
+    for lo in range(0, len(data), HASHED):
+        before = min(lo, WINDOW - 1)
+        h = _GEAR[data[lo - before : lo + HASHED]]
+        span = 1
+        while span < WINDOW:  # h[i] covers the span bytes up to i; twice as many in each turn
+            wider = h.copy()
+            wider[span:] += h[:-span] * np.uint64(pow(_STEP, span, 1 << 64))
+            h, span = wider, span * 2
+        found = np.flatnonzero((h >> np.uint64(40)) & np.uint64(MASK) == 0)
+        places.append(found[found >= WINDOW - 1] + lo - before)
+    found = np.concatenate(places)
     if len(found):
         found = found[np.concatenate(([True], np.diff(found) >= LEAST_CHUNK))]
     return found + 1
@@ -146,10 +148,9 @@ class Merger:
             todo = todo[~same & (held >= 0)]
         return ranks
 
-    def words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of words of one length; each word is one pre-token."""
+    def words(self, words: list[bytes], data: np.ndarray) -> dict[bytes, bytes]:
+        """The ids of words of one length, whose bytes are the rows of ``data``; each word is one pre-token."""
         told: dict[bytes, bytes] = {}
-        data = np.frombuffer(b"".join(words), dtype=np.uint8).reshape(len(words), -1)
         tokens = self.inner[data]
         tokens[:, -1] = self.last[data[:, -1]]
         at = np.arange(len(words))
@@ -215,15 +216,21 @@ class Encoder:
         A word of lower-case letters up to U+00FF is as the normaliser leaves it and one
         pre-token; such words are merged here, many at a time. The library encodes all others.
         """
-        plain: dict[int, list[bytes]] = {}
+        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        begin = np.concatenate(([0], np.cumsum(lengths)))
+        odd = np.concatenate(([0], np.cumsum((data < 97) | (data > 122))))
+        fine = (odd[begin[1:]] == odd[begin[:-1]]) & (lengths > 0) & (lengths <= PLAIN)
         other = []
-        for w in words:
-            if len(w) <= 40 and (w.isalpha() and w.islower() or not w.isascii() and (t := w.decode()).isalpha() and t.islower() and max(t) < "\u0100"):
-                plain.setdefault(len(w), []).append(w)
+        for k in np.flatnonzero(~fine).tolist():
+            w = words[k]
+            if 0 < len(w) <= PLAIN and not w.isascii() and (t := w.decode()).isalpha() and t.islower() and max(t) < "\u0100":
+                fine[k] = True
             else:
                 other.append(w)
-        for same in plain.values():
-            found = self.merger.words(same)
+        for n in np.unique(lengths[fine]).tolist():
+            which = np.flatnonzero(fine & (lengths == n))
+            found = self.merger.words([words[k] for k in which.tolist()], data[begin[which][:, None] + np.arange(n)])
             self.ids.update(found)
             if self.decoding:
                 for w, ids in found.items():

@@ -21,11 +21,16 @@ CELL_ROWS = 4096
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the shared folder that the cluster names; set one only where none is set."""
+    """Keep the shared folder that the cluster names; in local mode, as in tests, set one where none is set.
+
+    On a cluster without one this raises: executors would write to folders of their own.
+    """
     if spark.conf.get("spark.checkpoint.dir", None):
         return
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="litlode-checkpoint-"))
 
 

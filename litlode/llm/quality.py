@@ -5,7 +5,8 @@ ratio of good against poor. The evidence of all documents is then pooled by grou
 the mean chance of a host is shrunk toward the corpus mean, and that of a path inside the
 host toward the host's posterior, each with the strength that the spread between groups calls
 for (method of moments), so a host or path with few documents says little. A document's score
-adds the path's posterior log-odds, as the prior, to its own evidence.
+adds to its own evidence, as the prior, the log-odds of its path's posterior without the
+document itself: its evidence counts once, and the only document of a site has the corpus' prior.
 
 The host of a document is its source and the path its language within the source; both columns
 are parameters. The model is fitted on a bounded sample of labelled rows
@@ -125,7 +126,7 @@ def evidence_column(spark: SparkSession, model: Model, text: Column) -> Column:
         tidy()
         return told
 
-    return evidence(text)
+    return evidence.asNondeterministic()(text)  # else the optimizer evaluates it twice, in a filter and in what is selected
 
 
 def _strength(groups: DataFrame, mean: str, prior: str) -> float:
@@ -139,24 +140,33 @@ def _strength(groups: DataFrame, mean: str, prior: str) -> float:
 
 
 def posteriors(scored: DataFrame) -> DataFrame:
-    """(host, path, prior_logit) from (host, path, evidence) of all documents; materialised, a row for each path."""
+    """A row for each path, from (host, path, evidence) of all documents; materialised.
+
+    (h, p, n, good, host_n, host_good, mean, host_strength, path_strength, host_posterior, path_posterior): documents and
+    sums of their chances, the corpus mean, the priors' weights in documents, and the posteriors of all documents.
+    """
     chance = 1 / (1 + F.exp(-F.col("evidence")))
     paths = cut(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(chance).alias("good")))
     whole = paths.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).first()
     mean = min(1 - 1e-3, max(1e-3, (whole["good"] or 0.5) / (whole["n"] or 1)))
     hosts = cut(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).select("host", "n", "good", (F.col("good") / F.col("n")).alias("own"), F.lit(mean).alias("prior")))
     k = _strength(hosts, "own", "prior")
-    known = hosts.select(F.col("host").alias("h"), ((F.col("good") + k * mean) / (F.col("n") + k)).alias("host_posterior"))
-    paths = cut(paths.join(known, F.col("host").eqNullSafe(F.col("h"))).select("host", "path", "n", "good", (F.col("good") / F.col("n")).alias("own"), "host_posterior"))
-    k = _strength(paths, "own", "host_posterior")
-    p = F.least(F.lit(1 - 1e-3), F.greatest(F.lit(1e-3), (F.col("good") + k * F.col("host_posterior")) / (F.col("n") + k)))
-    return cut(paths.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_posterior", p.alias("path_posterior"), F.log(p / (1 - p)).alias("prior_logit")))
+    known = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("good").alias("host_good"), ((F.col("good") + k * mean) / (F.col("n") + k)).alias("host_posterior"))
+    paths = cut(paths.join(known, F.col("host").eqNullSafe(F.col("h"))).drop("h").withColumn("own", F.col("good") / F.col("n")))
+    m = _strength(paths, "own", "host_posterior")
+    told = [F.lit(mean).alias("mean"), F.lit(k).alias("host_strength"), F.lit(m).alias("path_strength")]
+    return cut(paths.select(F.col("host").alias("h"), F.col("path").alias("p"), "n", "good", "host_n", "host_good", *told, "host_posterior", ((F.col("good") + m * F.col("host_posterior")) / (F.col("n") + m)).alias("path_posterior")))
 
 
 def _judged(scored: DataFrame, prior: DataFrame) -> DataFrame:
     """``scored`` with the posteriors and the score."""
     same = F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p"))
-    return scored.join(small_side(prior), same).drop("h", "p").withColumn("score", 1 / (1 + F.exp(-F.col("evidence") - F.col("prior_logit"))))
+    own = 1 / (1 + F.exp(-F.col("evidence")))
+    host = (F.col("host_good") - own + F.col("host_strength") * F.col("mean")) / (F.col("host_n") - 1 + F.col("host_strength"))
+    path = (F.col("good") - own + F.col("path_strength") * host) / (F.col("n") - 1 + F.col("path_strength"))
+    others = F.least(F.lit(1 - 1e-3), F.greatest(F.lit(1e-3), path))
+    joined = scored.join(small_side(prior), same).withColumn("score", 1 / (1 + F.exp(-F.col("evidence")) * (1 - others) / others))
+    return joined.drop("h", "p", "n", "good", "host_n", "host_good", "mean", "host_strength", "path_strength")
 
 
 def rate(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
@@ -166,7 +176,7 @@ def rate(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_good(df: DataFrame, model: Model, text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """The rows of ``df`` that are kept; texts are read twice rather than shuffled."""
+    """The rows of ``df`` that are kept; texts are read twice, for the posteriors and for the decisions, rather than shuffled."""
     evidence = evidence_column(df.sparkSession, model, F.col(text_col))
     prior = posteriors(df.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), evidence.alias("evidence")))
     scored = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(host_col).alias("host"), F.col(path_col).alias("path"), evidence.alias("evidence"))

@@ -28,11 +28,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litlode.llm.bpe import text_slices
-from litlode.llm.common import cut, grouped_batches, map_batches, small_side, split_hot_keys
+from litlode.llm.common import cut, grouped_batches, keep_least, map_batches, split_hot_keys
 from litlode.llm.components import components, merge_pairs
 
 BITS, RADIUS, WORDS, SEED = 64, 3, 3, 42
@@ -89,13 +89,40 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """64 planes of bits: plane b, word w holds bit b of rows 64 w to 64 w + 63."""
-    bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    padded = np.zeros((BITS, -(-len(fps) // 64) * 64), dtype=np.uint8)
+    """A plane for each bit: plane b, word w holds bit b of rows 64 w to 64 w + 63; rows of one 64-bit word or of several."""
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+    padded = np.zeros((bits.shape[1], -(-len(fps) // 64) * 64), dtype=np.uint8)
     padded[:, : len(fps)] = bits.T
     return np.packbits(padded, axis=1, bitorder="little").view("<u8")
 
 
+def count_plane(counters: list[np.ndarray], over: np.ndarray, carry: np.ndarray, spare: np.ndarray) -> None:
+    """Add a plane of differing bits, ``carry``, to 64 distances a word: carry-save counters, least bit first; ``carry`` and ``spare`` are used up."""
+    for c in counters:
+        np.bitwise_and(c, carry, out=spare)
+        np.bitwise_xor(c, carry, out=c)
+        carry, spare = spare, carry
+    np.bitwise_or(over, carry, out=over)
+
+
+def sliced_within(differ: np.ndarray, radius: int) -> np.ndarray:
+    """Whether each row of differing bits (words of 64) has at most ``radius``; bit-sliced, a tile is left as soon as all of it is beyond."""
+    fine, size = np.zeros(len(differ), dtype=bool), radius.bit_length()
+    for lo in range(0, len(differ), 64 * TILE_WORDS):
+        part = differ[lo : lo + 64 * TILE_WORDS]
+        planes = bit_planes(part)
+        over, spare = np.zeros_like(planes[0]), np.empty_like(planes[0])
+        counters = [np.zeros_like(over) for _ in range(size)]
+        for b, plane in enumerate(planes):
+            count_plane(counters, over, plane, spare)
+            if b % 16 == 15 and (over == np.uint64(0xFFFFFFFFFFFFFFFF)).all():
+                break
+        near = np.unpackbits((~over).view(np.uint8), bitorder="little")[: len(part)].astype(bool)
+        near[near] = np.bitwise_count(part[near]).sum(axis=1) <= radius  # counters tell up to the next power of two
+        fine[lo : lo + len(part)] = near
+    return fine
+
+
 def tile_links(planes: np.ndarray, fps: np.ndarray, lo: int, hi: int, w0: int, w1: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j), i < j, of query rows lo..hi and the rows of words w0..w1 within the radius."""
     queries = fps[lo:hi]
@@ -106,11 +133,7 @@ def tile_links(planes: np.ndarray, fps: np.ndarray, lo: int, hi: int, w0: int, w
     for b in range(BITS):
         mask = np.where(queries >> np.uint64(b) & np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
         np.bitwise_xor(planes[b, w0:w1][None, :], mask[:, None], out=carry)
-        for c in counters:
-            np.bitwise_and(c, carry, out=spare)
-            np.bitwise_xor(c, carry, out=c)
-            carry, spare = spare, carry
-        np.bitwise_or(over, carry, out=over)
+        count_plane(counters, over, carry, spare)
         if b % 8 == 7 and (over == np.uint64(0xFFFFFFFFFFFFFFFF)).all():
             return np.empty(0, np.int64), np.empty(0, np.int64)
     row, word = np.nonzero(~over)
@@ -172,6 +195,13 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return map_batches(dealt, run, "a long, b long")
 
 
+def grouped(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, component) for each fingerprint of ``prints(fp)``, which is materialised; a component is named by its least fingerprint."""
+    distinct = cut(prints.select("fp").distinct())
+    roots = components(links(distinct, radius))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("component"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``df``."""
     docs = cut(fingerprints(df, id_col, text_col))
@@ -184,15 +214,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of each component of near-duplicates: the one with the least id.
+    """One row of each component of near-duplicates by fingerprints alone: the one with the least id, null ids last.
 
-    Rows with a null id stay, as no other row can name them; of rows that share an id one
-    stays, by a hash of the text. The ids to drop are broadcast only if they are few.
+    Decisions are by id and text, so a row is dropped only for a row that stays: of rows that share an id,
+    those with other texts stay or go by themselves. ``similar.keep_first`` is the stage by similarity.
     """
-    found = cut(near_duplicates(df, id_col, text_col, radius))
-    drop = cut(found.filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct())
-    kept = df.join(small_side(drop), id_col, "left_anti")
-    if found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept.select(*df.columns)
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    return kept.withColumn("__litlode_first", first).filter((F.col("__litlode_first") == 1) | F.col(id_col).isNull()).select(*df.columns)
+    docs = df.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")).alias("row"), F.col(text_col).alias("text"))
+    prints = cut(fingerprints(docs, "row", "text"))
+    told = grouped(prints, radius)
+    rows = prints.join(told, "fp").select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.text_hash").alias("text_hash"), "component")
+    return keep_least(df, cut(rows), id_col, text_col)

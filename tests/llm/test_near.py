@@ -55,6 +55,12 @@ def test_keep_first(documents, spark):
     assert ids.count(None) == 1
 
 
+def test_texts_under_one_id_stay(spark):
+    rows = [(1, "alpha beta gamma delta one"), (1, "totally different text about boats here"), (3, "b b b"), (5, "a a a"), (5, "b b b"), (7, "a a a"), (None, "c c c"), (None, "c c c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, simhash.keep_first(df).collect())) == sorted(map(str, spark.createDataFrame([*rows[:3], rows[3], rows[6]], df.schema).collect()))
+
+
 def test_empty(empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).count() == 0
     assert fingerprints.edited_digest(empty).count() == 0

@@ -3,7 +3,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from litlode.llm import packing, queries, quality, secrets, simhash, toxicity
+from litlode.llm import packing, queries, quality, secrets, toxicity
+
+from test_similar import survivors
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -27,8 +29,7 @@ def test_stages_by_hand(spark, tmp_path, vocabulary):
     told = toxicity.severity(good, toxicity.fit(good, labels))
     assert {r[0] for r in clean.select("doc_id").collect()} == {r[0] for r in told.filter("not toxic").select("doc_id").collect()}
     once = through(2, clean)
-    found = simhash.near_duplicates(clean)
-    assert sorted(r[0] for r in once.select("doc_id").collect()) == sorted(r[0] for r in found.filter("doc_id = component_id").select("doc_id").collect())
+    assert sorted(r[0] for r in once.select("doc_id").collect()) == survivors([(r.doc_id, r.text) for r in clean.collect()])
     safe = through(3, once)
     assert safe.columns == columns and safe.count() == once.count()
     assert secrets.secrets_digest(safe).agg(F.max(F.length("spans"))).first()[0] == 0

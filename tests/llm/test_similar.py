@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from litlode.llm import jaccard, simhash
+from litlode.llm import similar, simhash
 
 SF = "/root/testdata/sf0.1"
 
@@ -51,8 +52,8 @@ def made_up():
 
 @pytest.mark.parametrize("cell_rows", [4096, 3])
 def test_stage_against_every_pair(spark, cell_rows, monkeypatch):
-    monkeypatch.setattr(jaccard, "CELL_ROWS", cell_rows)
-    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(similar, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(similar, "BLOCK", 8)
     rows = made_up()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = corpus_pipeline.drop_near_duplicates(spark, df, SF)
@@ -68,15 +69,37 @@ def test_stage_drops_near_copies_of_the_given_table(spark):
 
 
 def test_odd_rows(spark, empty):
-    assert jaccard.keep_first(empty).count() == 0
+    assert similar.keep_first(empty).count() == 0
     rows = [(3, "b b b"), (5, "a a a"), (5, "b b b"), (7, "a a a"), (None, "c c c"), (None, "c c c"), (8, "d"), (8, "d"), (None, None), (9, "")]
-    kept = jaccard.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = similar.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([(3, "b b b"), (5, "a a a"), (None, "c c c"), (8, "d"), (9, "")], kept.schema).collect()))
 
 
 def test_long_text_by_segments(monkeypatch):
     text = " ".join(f"w{k % 97} X{k % 31}" for k in range(3000)).encode()
-    whole = jaccard.shingle_sets([text])[0]
+    whole = similar.shingle_sets([text])[0]
     assert len(whole) == len(shingles(text.decode()))
-    monkeypatch.setattr(jaccard, "SEGMENT", 50)
-    assert jaccard.shingle_sets([text])[0].tolist() == whole.tolist()
+    monkeypatch.setattr(similar, "SEGMENT", 50)
+    assert similar.shingle_sets([text])[0].tolist() == whole.tolist()
+
+
+def test_sliced_counts():
+    rnd = np.random.default_rng(2)
+    x = rnd.integers(0, 1 << 63, (9000, 2), dtype=np.uint64) & rnd.integers(0, 1 << 63, (9000, 2), dtype=np.uint64) & np.where(rnd.random((9000, 1)) < 0.5, ~np.uint64(0), np.uint64(0xFFFF))
+    for radius in (0, 5, 20, 52):
+        assert simhash.sliced_within(x, radius).tolist() == (np.bitwise_count(x).sum(axis=1) <= radius).tolist()
+
+
+def test_prints_of_alike_sets_are_near(monkeypatch):
+    """Sets at just 0.8, the smallest included: differing bits stay far within the radius."""
+    rnd = np.random.default_rng(4)
+    sets = []
+    for n in [4] * 400 + [8] * 200 + [80] * 200 + [800] * 20:
+        whole = rnd.integers(0, 1 << 63, n + n // 4, dtype=np.uint64)
+        sets += [np.sort(whole[:n]), np.sort(whole)]
+    bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    prints = np.frombuffer(b"".join(similar.wide_prints(np.concatenate(sets), bounds)), dtype="<u8").reshape(-1, 2)
+    far = np.bitwise_count(prints[::2] ^ prints[1::2]).sum(axis=1)
+    assert far.max() <= similar.RADIUS - 8
+    monkeypatch.setattr(similar, "COUNTED", 7)
+    assert np.frombuffer(b"".join(similar.wide_prints(np.concatenate(sets), bounds)), dtype="<u8").reshape(-1, 2).tolist() == prints.tolist()

@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,6 +205,65 @@ def test_quality_on_held_out_labels(larger):
     assert sum(good) / len(good) > 0.99 and sum(poor) / len(poor) < 0.05
 
 
+def posteriors_plain(rows):
+    """{(host, path): (host posterior, path posterior)} and each row's score, from the definition."""
+    chance = [1 / (1 + math.exp(-e)) for *_, e in rows]
+
+    def strength(groups):  # (n, mean, prior)
+        n = sum(g[0] for g in groups)
+        spread, noise, most = (sum(f(*g) for g in groups) for f in (lambda n, p, q: n * (p - q) ** 2, lambda n, p, q: q * (1 - q), lambda n, p, q: n * q * (1 - q)))
+        return min(1e4, max(1.0, most / n / max(max(0.0, (spread - noise) / n), 1e-12) - 1))
+
+    def sums(key):
+        out = {}
+        for r, c in zip(rows, chance, strict=True):
+            n, good = out.get(key(r), (0, 0.0))
+            out[key(r)] = n + 1, good + c
+        return out
+
+    mean = min(1 - 1e-3, max(1e-3, sum(chance) / len(rows)))
+    hosts, paths = sums(lambda r: r[0]), sums(lambda r: r[:2])
+    k = strength([(n, g / n, mean) for n, g in hosts.values()])
+    host = {h: (g + k * mean) / (n + k) for h, (n, g) in hosts.items()}
+    m = strength([(n, g / n, host[h]) for (h, _), (n, g) in paths.items()])
+    scores = []
+    for (h, p, e), c in zip(rows, chance, strict=True):
+        without = (hosts[h][1] - c + k * mean) / (hosts[h][0] - 1 + k)
+        prior = (paths[h, p][1] - c + m * without) / (paths[h, p][0] - 1 + m)
+        prior = min(1 - 1e-3, max(1e-3, prior))
+        scores.append(1 / (1 + math.exp(-e - math.log(prior / (1 - prior)))))
+    return {(h, p): (host[h], (g + m * host[h]) / (n + m)) for (h, p), (n, g) in paths.items()}, scores
+
+
+def sites(seed=3):
+    """Documents with weak evidence, on sites that are mostly good or mostly poor, many of them sparse: rows and truths."""
+    rnd, rows, truth = random.Random(seed), [], []
+    for h in range(60):
+        share = rnd.choice([0.05, 0.95])
+        for p in range(3):
+            for _ in range(rnd.choice([1, 2, 3, 40])):
+                good = rnd.random() < share
+                rows.append((f"h{h}" if h else None, f"p{p}", rnd.gauss(0.5 if good else -0.5, 1.0)))
+                truth.append(good)
+    return rows, truth
+
+
+def test_posteriors_and_scores_from_the_definition(spark):
+    rows, truth = sites()
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, host string, path string, evidence double")
+    prior = quality.posteriors(df)
+    groups, scores = posteriors_plain(rows)
+    assert {(r.h, r.p): (r.host_posterior, r.path_posterior) for r in prior.collect()} == {key: pytest.approx(v) for key, v in groups.items()}
+    got = [r.score for r in quality._judged(df, prior).orderBy("k").collect()]
+    assert got == pytest.approx(scores)
+    right = sum((s >= 0.5) == t for s, t in zip(got, truth, strict=True))
+    alone = sum((e >= 0) == t for (*_, e), t in zip(rows, truth, strict=True))
+    assert right > alone + 0.03 * len(rows)  # the sites help where the documents say little
+    n = Counter(r[:2] for r in rows)
+    few = [k for k, r in enumerate(rows) if n[r[:2]] <= 3]
+    assert sum((got[k] >= 0.5) == truth[k] for k in few) > sum((rows[k][2] >= 0) == truth[k] for k in few)
+
+
 def test_sparse_sites_shrink(spark):
     rows = [("big", "a", 3.0)] * 400 + [("big", "b", -3.0)] * 400 + [("tiny", "a", -6.0)] + [("h%d" % k, "p", 4.0 if k % 2 else -4.0) for k in range(40) for _ in range(20)]
     told = {(r.h, r.p): r for r in quality.posteriors(spark.createDataFrame(rows, "host string, path string, evidence double")).collect()}
@@ -210,6 +271,12 @@ def test_sparse_sites_shrink(spark):
     assert told["tiny", "a"].host_posterior > 0.1  # one poor document says little
 
 
+def test_evidence_is_told_once(documents, spark):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    plan = quality.keep_good(documents, quality.fit(documents, labels))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_cumulative_weights_are_shared():
     import numpy as np
 
