@@ -2,13 +2,17 @@
 
 A rolling hash over the UTF-8 bytes cuts every text where its last 16 bytes hash to a
 given residue, so a passage that two documents share is cut at the same places in both.
-Each distinct chunk a task meets is encoded once and kept in a bounded store. A cut can
+Each distinct chunk a task meets is encoded once and kept in a bounded store of two
+generations, in which chunks that come again move to the younger one. A cut can
 fall inside a word, and then the two chunks' encodings are wrong at the seam: the seam is
 repaired by encoding the bytes between the last white space of the left chunk and the
-first of the right one again. White space always ends a pre-token of the vocabularies
-that this module takes (see ``check``), so beyond those two places the chunk's own
-encoding and the whole text's agree exactly; where a chunk has no white space at all, the
-window grows over further chunks until it reaches one, or the end of the text.
+first of the right one again; where a chunk has no white space at all, the window grows over
+further chunks until it reaches one, or the end of the text. White space ends every pre-token
+of the vocabularies that this module takes (see ``check``), so beyond those two places the
+chunk's own encoding should be the whole text's. Where ``agree`` is set, which is the default,
+that is tested at every seam: the seam with the chunks' words on either side is encoded as one
+text by the library, and has to give those words' ids and the seam's, one after the other. A text
+with a seam that doesn't agree is encoded as a whole.
 
 The store lives in a worker and is not a table that all tasks share: joining encoded
 chunks back to their documents through a shuffle would move the ids, about 1.5 bytes a
@@ -36,8 +40,8 @@ from litlode.llm.common import map_batches
 WINDOW = 16
 MASK = (1 << 9) - 1
 LEAST_CHUNK, MOST_CHUNK = 64, 8192
-#: Bounds of a worker's stores: words in each of two generations, and bytes of encoded chunks.
-MOST_WORDS, MOST_STORE = 150_000, 16 << 20
+#: Bounds of a worker's stores: words, and bytes of encoded chunks, in each of two generations; seams known to agree.
+MOST_WORDS, MOST_STORE, MOST_AGREED = 150_000, 8 << 20, 50_000
 #: Bytes of text that are encoded, and sent on, at a time; bytes that are hashed at a time; longest word that is merged here.
 SLICE_BYTES, HASHED, PLAIN = 4 << 20, 1 << 17, 40
 
@@ -192,7 +196,7 @@ def _laid_out(found: list[bytes], which: np.ndarray) -> tuple[bytes, np.ndarray]
 class Encoder:
     """Encodes whole texts through chunks; one for each worker and vocabulary file."""
 
-    def __init__(self, path: str, decoding: bool = True) -> None:
+    def __init__(self, path: str, decoding: bool = True, agree: bool = True) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -206,9 +210,13 @@ class Encoder:
         self.ids: dict[bytes, bytes] = {b"": b""}
         self.toks: dict[bytes, bytes] = {b"": b""}
         self.old: tuple[dict[bytes, bytes], dict[bytes, bytes]] = {}, {}
-        self.store: dict[bytes, tuple[bytes, bytes | None, bytes, bytes]] = {}
+        self.store: dict[bytes, tuple] = {}
+        self.older: dict[bytes, tuple] = {}
         self.stored = 0
-        self.reused = 0
+        self.agree = agree
+        self.agreed: set[tuple[bytes, bytes, bytes]] = set()
+        #: Chunks met and met before, texts encoded as a whole for a seam that didn't agree.
+        self.met = self.reused = self.widened = 0
 
     def _ask(self, words: list[bytes]) -> None:
         """The ids of words without white space.
@@ -268,7 +276,7 @@ class Encoder:
         return found
 
     def _chunks(self, fresh: list[bytes]) -> None:
-        """Encode chunks and store (head, ids, tokens, tail): what stands between white space, and the two ends."""
+        """Encode chunks and store (head, ids, tokens, tail, first, last): what stands between white space, the two ends, and the first and last word between."""
         if not fresh:
             return
         # Chunks are laid end to end with a space between; words at a chunk's ends may be parts of words and stay out.
@@ -302,9 +310,11 @@ class Encoder:
         table = (at, to, at_id[at], at_id[to], single, headed, tailed, first_end, last_start)
         for c, i, j, x, y, one, first, last, e, s in zip(fresh, *(t.tolist() for t in table), strict=True):
             if one:
-                entry = (c, None, b"", b"")
+                entry = (c, None, b"", b"", b"", b"")
             else:
-                entry = (c[:e] if first else b"", ids[x:y], b"".join(toks[i:j]) if self.decoding else b"", c[s:] if last else b"")
+                edge = (i + first, j - 1 - last) if self.agree and j - i > first + last else None
+                words = (different[which[edge[0]]], different[which[edge[1]]]) if edge else (b"", b"")
+                entry = (c[:e] if first else b"", ids[x:y], b"".join(toks[i:j]) if self.decoding else b"", c[s:] if last else b"", *words)
             self.store[c] = entry
             self.stored += len(c) + (y - x) + len(entry[2]) + 300
 
@@ -313,8 +323,29 @@ class Encoder:
             self.old = self.ids, self.toks
             self.ids, self.toks = {b"": b""}, {b"": b""}
         if self.stored > MOST_STORE:
-            self.store.clear()
-            self.stored = 0
+            self.older, self.store, self.stored = self.store, {}, 0
+        if len(self.agreed) > MOST_AGREED:
+            self.agreed.clear()
+
+    def _disagreeing(self, seams: dict[tuple[bytes, bytes, bytes], set[int]]) -> set[int]:
+        """The texts with a (word before, seam, word after) that the library encodes otherwise than its parts; what agrees is remembered."""
+        todo = [s for s in seams if s not in self.agreed]
+        self.learn({w for s in todo for w in s if w not in self.ids})
+        wrong: set[int] = set()
+        for k in range(0, len(todo), 4096):
+            part = todo[k : k + 4096]
+            whole = self.tokenizer.encode_batch_fast([b" ".join(filter(None, s)).decode() for s in part], add_special_tokens=False)
+            for s, e in zip(part, whole, strict=True):
+                if np.array(e.ids, dtype="<u4").tobytes() == b"".join([self.ids[w] for w in s]):
+                    self.agreed.add(s)
+                else:
+                    wrong |= seams[s]
+        return wrong
+
+    def _whole(self, text: bytes) -> tuple[bytes, bytes]:
+        """The ids and decoded text of a text by the library alone."""
+        ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes(), b" ".join([self.names[i] for i in ids]) if self.decoding else b""
 
     def encode(self, data: bytes, offsets: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
         """For each text of ``data`` its ids (little-endian, 32 bits each) and its decoded text."""
@@ -322,31 +353,50 @@ class Encoder:
         data, offsets = fold(data, offsets)
         starts, ends, docs = chunk_spans(np.frombuffer(data, dtype=np.uint8), offsets)
         chunks = [data[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-        store = self.store
-        fresh = [c for c in dict.fromkeys(chunks) if c not in store]
+        store, fresh = self.store, []
+        for c in dict.fromkeys(chunks):
+            if c not in store:
+                entry = self.older.get(c)
+                if entry is None:
+                    fresh.append(c)
+                else:
+                    store[c] = entry
+                    self.stored += len(c) + len(entry[1] or b"") + len(entry[2]) + 300
+        self.met += len(chunks)
         self.reused += len(chunks) - len(fresh)
         self._chunks(fresh)
         first = np.searchsorted(docs, np.arange(len(offsets)), side="left").tolist()
         told: list[list[tuple[bytes, bytes | None]]] = []  # for each text: chunks' ids and tokens, or (word, None) at a seam
+        seams: dict[tuple[bytes, bytes, bytes], set[int]] = {}
         for d in range(len(offsets) - 1):
             parts: list[tuple[bytes, bytes | None]] = []
             seam: list[bytes] = []  # bytes since the last white space: they may go on in the next chunk
+            before = b""  # the last word of the chunks so far that no seam touches
             for c in chunks[first[d] : first[d + 1]]:
-                head, mid, mid_toks, tail = store[c]
+                head, mid, mid_toks, tail, opens, closes = store[c]
                 if head:
                     seam.append(head)
                 if mid is None:
                     continue
                 if seam:
                     parts.append((b"".join(seam), None))
+                    if self.agree and (before or opens):
+                        seams.setdefault((before, parts[-1][0], opens), set()).add(d)
                 parts.append((mid, mid_toks))
-                seam = [tail] if tail else []
+                seam, before = [tail] if tail else [], closes
             if seam:
                 parts.append((b"".join(seam), None))
+                if self.agree and before:
+                    seams.setdefault((before, parts[-1][0], b""), set()).add(d)
             told.append(parts)
         self.learn({w for parts in told for w, t in parts if t is None and w not in self.ids})
+        wrong = self._disagreeing(seams)
+        self.widened += len(wrong)
         known_ids, known_toks, decoding = self.ids, self.toks, self.decoding
-        for parts in told:
+        for d, parts in enumerate(told):
+            if d in wrong:
+                yield self._whole(data[offsets[d] : offsets[d + 1]])
+                continue
             ids = b"".join([known_ids[x] if t is None else x for x, t in parts])
             yield ids, b"".join([known_toks[x] if t is None else t for x, t in parts])[:-1] if decoding else b""
 
@@ -375,14 +425,14 @@ def check(path: str) -> dict:
     return m
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[tuple[str, bool, bool], Encoder] = {}
 
 
-def encoder(path: str, decoding: bool = True) -> Encoder:
-    """The worker's encoder for a vocabulary file; without ``decoding`` the decoded texts are empty."""
-    if (path, decoding) not in _ENCODERS:
-        _ENCODERS[path, decoding] = Encoder(path, decoding)
-    return _ENCODERS[path, decoding]
+def encoder(path: str, decoding: bool = True, agree: bool = True) -> Encoder:
+    """The worker's encoder for a vocabulary file; without ``decoding`` the decoded texts are empty, without ``agree`` seams aren't tested."""
+    if (path, decoding, agree) not in _ENCODERS:
+        _ENCODERS[path, decoding, agree] = Encoder(path, decoding, agree)
+    return _ENCODERS[path, decoding, agree]
 
 
 def text_slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
@@ -425,9 +475,8 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = encoder(path).names
         for b in batches:
-            for k, x in enumerate(b.column(1)):
-                text = b" ".join([names[i] for i in np.frombuffer(x.as_py() or b"", dtype="<u4").tolist()]).decode()
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), pa.array([text], pa.string())], names=["doc_id", "decoded"])
+            texts = [b" ".join([names[i] for i in np.frombuffer(x.as_py() or b"", dtype="<u4").tolist()]).decode() for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return map_batches(df.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")), run, f"doc_id {kind}, decoded string")

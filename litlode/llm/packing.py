@@ -115,7 +115,7 @@ def token_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """(doc_id, piece, start, length, ids): each document's ids and ``end_id``, cut at the capacity; ids as little-endian 32-bit binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end, step = encoder(path, decoding=False), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
+        enc, end, step = encoder(path, decoding=False, agree=False), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for b in batches:
             for at, _, data, offsets in text_slices(b, 1):
                 rows, starts, parts = [], [], []

@@ -42,6 +42,47 @@ def test_odd_texts_and_chunk_seams(library, vocabulary):
         assert decoded.decode() == library.decode(expected, skip_special_tokens=False)
 
 
+def made_up_texts(seed=7):
+    """Texts that share passages."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghilmnorstu") for _ in range(rnd.randint(1, 9)))
+    passages = [" ".join(word() for _ in range(700)) for _ in range(4)]
+    return [" ".join([word(), *rnd.sample(passages, 3), word()]) for _ in range(30)]
+
+
+def test_seams_that_disagree_are_widened(library, vocabulary):
+    texts = [t.encode() for t in made_up_texts()]
+    offsets = np.cumsum([0] + [len(t) for t in texts])
+    expected = [np.array(library.encode(t.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    encoder = bpe.Encoder(vocabulary)
+    assert [ids for ids, _ in encoder.encode(b"".join(texts), offsets)] == expected and encoder.widened == 0 and encoder.agreed
+    seam = next(s for s in encoder.agreed if s[0] and s[2])
+    broken = bpe.Encoder(vocabulary)
+    broken._put(seam[1], b"\1\0\0\0" * 3)  # a wrong encoding of the word at a seam
+    got = list(broken.encode(b"".join(texts), offsets))
+    touched = [k for k, t in enumerate(texts) if (b" " + b" ".join(seam) + b" ") in t]
+    assert broken.widened >= len(touched) > 0 and all(got[k] == (expected[k], library.decode(np.frombuffer(expected[k], dtype="<u4").tolist(), skip_special_tokens=False).encode()) for k in touched)
+
+
+def test_chunks_come_back_from_the_older_generation(library, vocabulary, monkeypatch):
+    texts = [t.encode() for t in made_up_texts()]
+    monkeypatch.setattr(bpe, "MOST_STORE", 40_000)
+    encoder = bpe.Encoder(vocabulary)
+    for t in texts:
+        ((ids, _),) = encoder.encode(t, np.array([0, len(t)]))
+        assert ids == np.array(library.encode(t.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert encoder.stored < 40_000 + 4 * len(t)
+    assert encoder.reused > 0.6 * encoder.met  # three of four passages in each text
+
+
+def test_cut_points_in_blocks(monkeypatch):
+    data = np.random.default_rng(3).integers(97, 123, 30_000).astype(np.uint8)
+    whole = bpe.cut_points(data).tolist()
+    for size in (64, 1000, 4099):
+        monkeypatch.setattr(bpe, "HASHED", size)
+        assert bpe.cut_points(data).tolist() == whole and len(whole) > 30
+
+
 def test_chunks_are_shared_and_cover(vocabulary):
     rnd = random.Random(1)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
