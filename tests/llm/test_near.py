@@ -3,6 +3,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -172,6 +174,67 @@ def test_forest_recall(spark):
     assert rpforest.near_duplicates(df.limit(0)).count() == 0
 
 
+def planted(n, d, seed):
+    """Unit vectors: most alone, pairs at cosines from 0.95 to 0.96, and dense clusters."""
+    rnd = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    a = unit(rnd.standard_normal((n // 5, d)))
+    across = rnd.standard_normal(a.shape)
+    across = unit(across - (across * a).sum(axis=1, keepdims=True) * a)
+    cosine = rnd.uniform(0.9501, 0.96, (len(a), 1))
+    clusters = np.repeat(unit(rnd.standard_normal((20, d))), n // 400, axis=0)
+    clusters = unit(clusters + rnd.standard_normal(clusters.shape) * 0.3 / np.sqrt(d))
+    rest = unit(rnd.standard_normal((n - 2 * len(a) - len(clusters), d)))
+    return np.concatenate([a, cosine * a + np.sqrt(1 - cosine**2) * across, clusters, rest]).astype(np.float32)
+
+
+@pytest.mark.parametrize("sample", [2_000_000, 40_000])
+def test_query_recall_on_fifty_thousand(spark, tmp_path, sample, monkeypatch):
+    """The registered query against every pair; with a small sample most leaves are split again on the executors."""
+    from litlode.llm import queries
+
+    monkeypatch.setattr(rpforest, "SAMPLE_FLOATS", sample)
+    x = planted(50_000, 48, 6)
+    table = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 48).cast(pa.list_(pa.float32())), "label": np.zeros(len(x))})
+    pq.write_table(table, tmp_path / "embeddings.parquet", row_group_size=8192)
+    got = {r.vec_id: r for r in queries.op8_projection_forest(spark, str(tmp_path)).collect()}
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    count, pairs = np.zeros(len(u), dtype=int), []
+    for lo in range(0, len(u), 2048):
+        i, j = np.nonzero(u[lo : lo + 2048].astype(np.float32) @ u.astype(np.float32).T >= 0.95 - 1e-5)
+        i += lo
+        fine = (i != j) & (np.einsum("ij,ij->i", u[i], u[j]) >= 0.95)
+        count += np.bincount(i[fine], minlength=len(u))
+        pairs += zip(i[fine].tolist(), j[fine].tolist(), strict=True)
+    found = np.array([got[k].n_links for k in range(len(u))])
+    assert (found <= count).all() and found.sum() >= 0.99 * count.sum() > 20_000
+    least = roots(len(u), pairs)
+    assert sum(got[k].component_id == least[k] for k in range(len(u))) > 0.99 * len(u)
+
+
+@pytest.mark.parametrize("n", [4_000, 16_000])
+def test_leaves_stay_bounded(spark, n, monkeypatch):
+    monkeypatch.setattr(rpforest, "SAMPLE_FLOATS", 3200)
+    monkeypatch.setattr(rpforest, "LEAF_ROWS", 64)
+    monkeypatch.setattr(rpforest, "SPLIT_ROWS", 300)
+    monkeypatch.setattr(rpforest, "ROUTE_ROWS", 500)
+    rnd = np.random.default_rng(n)
+    x = rnd.standard_normal((n, 32)).astype("<f4")
+    vectors = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in enumerate(x)], "node long, packed binary").repartition(4)
+    units = (x / np.linalg.norm(x, axis=1, keepdims=True))[:100].astype(float)
+    forest = {32: [rpforest.fit_tree(units, 16, 0.95, np.random.default_rng(t)) for t in range(3)]}
+    rows = rpforest.bounded_leaves(vectors, forest, 0.95, False, 1).groupBy("leaf").count().collect()
+    assert max(r["count"] for r in rows) <= 128 and sum(r["count"] for r in rows) >= 3 * n
+    assert len({r.leaf >> 56 for r in rows}) == 3
+
+
+def test_vectors_beyond_32_bits(spark):
+    rows = [(1, [1.0, 1e-12]), (2, [1.0, 0.1]), (3, [0.1, 1.0]), (4, [1e200, 1e199])]
+    got = {r.vec_id: r.n_links for r in rpforest.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 2, 2: 2, 3: 0, 4: 2}
+
+
 def test_counts_across_trees_are_exact(spark):
     """Without spill or with many trees a pair is counted once: in one leaf everything is found."""
     rnd = np.random.default_rng(8)
