@@ -117,9 +117,9 @@ def test_hot_keys_meet_once(spark):
     assert max(map(len, met.values())) < 80
 
 
-@pytest.mark.parametrize("bucket_rows", [20_000, 7])
-def test_fingerprint_edits(documents, plain, bucket_rows, monkeypatch):
-    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", bucket_rows)
+@pytest.mark.parametrize("bucket_bytes", [16 << 20, 20_000])
+def test_fingerprint_edits(documents, plain, bucket_bytes, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_BYTES", bucket_bytes)
     rows = fingerprints.edited_digest(documents).orderBy("doc_id").collect()
     distinct = sorted({(k, t) for k, t in plain if k is not None})
     texts = dict(distinct)
@@ -141,6 +141,66 @@ def test_fingerprint_edits(documents, plain, bucket_rows, monkeypatch):
     assert np.mean([r.near_edited > r.near_next for r in long]) > 0.95
 
 
+def lanes_plain(text):
+    """The likeness lanes of a text from their definition, by the module's word hashes."""
+    out = np.zeros(fingerprints.LANES, dtype=np.int64)
+    for p in text.split(b"\n"):
+        words = [int(fingerprints.word_hashes(np.frombuffer(w, dtype=np.uint8))[0][0]) for w in p.split()]
+        for width in fingerprints.WORDS:
+            shingles = [words[k : k + width] for k in range(max(1, len(words) - width + 1))] if words else []
+            for s in shingles:
+                h = width
+                for k in range(width):
+                    h = (h * fingerprints._BASE + (s[k] if k < len(s) else k)) % 2**64
+                h = int(fingerprints._mix(np.array([h], dtype=np.uint64))[0])
+                out[h % fingerprints.LANES] += 1 - 2 * (h >> 32 & 1)
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_likeness_lanes_from_the_definition(block, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BLOCK", block)
+    rnd = random.Random(1)
+    texts = ["", " ", "one", "a b c d", "\n\n", " ".join(f"w{rnd.randrange(9)}" for _ in range(300)), "\n".join(" ".join(f"v{rnd.randrange(9)}" for _ in range(rnd.randrange(40))) for _ in range(20))]
+    got = fingerprints.paragraph_sums([t.encode() for t in texts])[1]
+    for t, lanes in zip(texts, got, strict=True):
+        assert lanes.tolist() == lanes_plain(t.encode()).tolist()
+
+
+def test_short_texts_can_be_alike():
+    show = lambda t: fingerprints.paragraph_sums([t])
+    (a, x), (b, y), (c, z) = show(b"alpha beta gamma delta"), show(b"alpha beta gamma omega"), show(b"some other words here")
+    assert fingerprints.likeness(a, x, b, y)[0] > 0.3 > fingerprints.likeness(a, x, c, z)[0]
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "smallint"])
+def test_other_kinds_of_ids(spark, kind, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_BYTES", 300)
+    rows = [(k, f"text {k} " + "word " * (k % 9)) for k in range(60)]
+    df = spark.createDataFrame([*rows, (None, "lost")], "doc_id int, text string").withColumn("doc_id", F.col("doc_id").cast(kind)).repartition(3)
+    got = {r.doc_id: r for r in fingerprints.edited_digest(df).collect()}
+    texts = {(str(k) if kind == "string" else k): t for k, t in rows}
+    order = [None, *sorted(texts)]
+    texts[None] = "lost"
+    assert set(got) == set(order)
+    for k, after in zip(order, [*order[1:], None], strict=True):
+        t, n = texts[k], len(texts[k]) // 4
+        assert got[k].edited_sha256 == hashlib.sha256((t[: len(t) - n] + texts[after][:n]).encode()).hexdigest()
+    with pytest.raises(ValueError, match="double"):
+        fingerprints.edited_digest(df.withColumn("doc_id", F.lit(1.5)))
+
+
+def test_buckets_are_sized_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_BYTES", 100_000)
+    df = spark.range(3000).selectExpr("id as doc_id", "repeat('x', if(id < 1000, 1000, 10)) as text")
+    starts, *_ = fingerprints.bucket_starts(df)
+    edges = [0, *starts, 3000]
+    held = [sum((1000 if k < 1000 else 10) + 64 for k in range(a, b)) for a, b in zip(edges, edges[1:])]
+    assert max(held) <= 125_000 and len(held) < 20
+    parts = fingerprints.neighbours(df).groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("bucket").alias("n")).collect()
+    assert len(parts) == len(held) and {r.n for r in parts} == {1}
+
+
 def test_fingerprint_is_homomorphic():
     show = lambda t: fingerprints.render(*fingerprints.paragraph_sums([t.encode()]))[0]
     a, b, c = "first paragraph of some words here", "a second one with other words", "and the third"
