@@ -6,7 +6,8 @@ word are the matching statistics, the longest run that ends there and stands in
 Where such a run can grow no further and has at least LEAST words, it is an anchor in each
 template that it comes from; anchors of a template that follow one another in the text and in
 the template are chained to a span, and the share of the template that a chain covers is the
-span's coverage. Words that no template has reset the automaton, so only runs of template
+span's coverage. Templates are notices, which name a licence in a line, and whole licence
+texts. Words that no template has reset the automaton, so only runs of template
 words are walked.
 
 Inputs: a null text is empty; an empty text has no words, labels or places, and score zero.
@@ -26,27 +27,12 @@ from pyspark.sql import functions as F
 
 from litlode.llm.bpe import text_slices
 from litlode.llm.common import map_batches
+from litlode.llm.license_texts import NOTICES, TEXTS
 
-# The base phrases, as asked for, and openings or notices of public licences.
+# The base phrases, as asked for.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "gnu lesser general public license"),
-    ("agpl", "gnu affero general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by", "creative commons attribution 4 0 international license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-]
+#: (label, text) of notices and of whole licences.
+TEMPLATES = [*NOTICES, *TEXTS]
 #: Words of the shortest anchor, least share of a template that makes a span, words that a chain may skip.
 LEAST, COVERED, GAP = 3, 0.75, 12
 NAMED = 0.5
@@ -107,7 +93,7 @@ class Scanner:
     """Matching statistics, base places and template spans of texts."""
 
     def __init__(self, base: dict[str, str] = BASE, templates: list[tuple[str, str]] = TEMPLATES) -> None:
-        sequences = [(label, t.split()) for t, label in base.items()] + [(label, t.split()) for label, t in templates]
+        sequences = [(label, t.encode().translate(_WORDS).decode().split()) for label, t in [*((label, t) for t, label in base.items()), *templates]]
         self.labels = [label for label, _ in sequences]
         self.sizes = [len(words) for _, words in sequences]
         self.n_base = len(base)
