@@ -6,8 +6,10 @@ of these chances. Terms are words of the text (ASCII lowered) and the first 4, 5
 longer words, so that inflected and derived forms count; they are weighed by log(1 + count).
 
 Labels say only whether a document is toxic. Grade 0 is not toxic; toxic documents of the
-sample are graded 1 to GRADES by the quantiles of the sum of log(1 + count) of the terms that
-are significantly more frequent in toxic documents. Fitting takes a bounded sample of labelled
+sample are graded 1 to GRADES by the quantiles of the sum of log(1 + count) of toxic terms: those
+significantly more frequent in toxic documents of the other half of the sample, so that no
+document has a say in which terms grade it. Severity above grade 1 so means how much toxic
+vocabulary a document has, which is all that binary labels can tell. Fitting takes a bounded sample of labelled
 rows (labelled.ROWS_PER_CLASS, a parameter), the thresholds are then moved to the classes'
 frequencies among all labels. Scoring takes every document and whole texts.
 
@@ -129,6 +131,34 @@ def _terms(df: DataFrame) -> DataFrame:
     return map_batches(df.select("doc_id", "y", "text"), run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, y int, term binary, n int")
 
 
+def signed_root(d0: np.ndarray, d1: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """For each term, in d0 of n0 and d1 of n1 documents, the signed root of the likelihood ratio; about a standard normal by chance."""
+    both, g2 = d0 + d1, np.zeros(len(d0))
+    for seen, n in ((d0, n0), (d1, n1)):
+        for x, e in ((seen, both * (n / (n0 + n1))), (n - seen, (n0 + n1 - both) * (n / (n0 + n1)))):
+            some = x > 0
+            g2[some] += 2 * x[some] * np.log(x[some] / e[some])
+    return np.sqrt(np.maximum(g2, 0)) * np.where(d1 * n0 >= d0 * n1, 1, -1)
+
+
+def grades(rows: np.ndarray, terms: np.ndarray, values: np.ndarray, y: np.ndarray, n_terms: int) -> np.ndarray:
+    """A grade for each document of the sample, 0 for those that aren't toxic; entries as (row, term, value).
+
+    Toxic terms are told on one half of the documents, every other one, for the other.
+    """
+    amount, half = np.zeros(len(y)), np.arange(len(y)) % 2
+    for own in (0, 1):
+        others = half[rows] != own
+        n0, n1 = (int(((half != own) & (y == k)).sum()) for k in (0, 1))
+        if not n0 or not n1:
+            continue
+        d0, d1 = (np.bincount(terms[others & (y[rows] == k)], minlength=n_terms).astype(float) for k in (0, 1))
+        tell = signed_root(d0, d1, n0, n1) >= LEAST_Z
+        amount += np.bincount(rows, weights=values * (tell[terms] & ~others), minlength=len(y))
+    limits = np.quantile(amount[y == 1], [g / GRADES for g in range(1, GRADES)])
+    return np.where(y == 1, 1 + np.searchsorted(limits, amount, side="right"), 0)
+
+
 def fit(documents: DataFrame, labels: DataFrame, rows_per_class: int = labelled.ROWS_PER_CLASS) -> Model:
     """The model, from at most 2 x ``rows_per_class`` labelled documents and TERMS terms."""
     everyone = labelled.class_counts(labels, "toxic")
@@ -146,7 +176,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows_per_class: int = labelled.
     rated = cut(terms.groupBy("term").agg(F.count("*").alias("docs"), z.alias("z")).filter(F.col("docs") >= LEAST_COUNT))
     least_z = max(LEAST_Z, float(np.sqrt(2 * np.log(max(2, rated.count())))))  # about what chance gives among so many
     rated = rated.filter(F.abs("z") >= least_z)
-    vocabulary = {bytes(r["term"]): (k, r["z"]) for k, r in enumerate(rated.orderBy(F.desc(F.abs("z")), "term").limit(TERMS).collect())}
+    vocabulary = {bytes(r["term"]): k for k, r in enumerate(rated.orderBy(F.desc(F.abs("z")), "term").limit(TERMS).collect())}
     if not vocabulary:
         return Model({}, (float("inf"),) * GRADES)
     rows = {r["doc_id"]: k for k, r in enumerate(chosen.select("doc_id").orderBy("doc_id").collect())}
@@ -154,16 +184,12 @@ def fit(documents: DataFrame, labels: DataFrame, rows_per_class: int = labelled.
     for r in chosen.select("doc_id", "y").collect():
         y[rows[r["doc_id"]]] = r["y"]
     words = chosen.sparkSession.createDataFrame([(bytearray(t),) for t in vocabulary], "term binary")
-    entries = [(rows[r["doc_id"]], vocabulary[bytes(r["term"])][0], r["n"]) for r in terms.join(F.broadcast(words), "term").select("doc_id", "term", "n").toLocalIterator()]
+    entries = [(rows[r["doc_id"]], vocabulary[bytes(r["term"])], r["n"]) for r in terms.join(F.broadcast(words), "term").select("doc_id", "term", "n").toLocalIterator()]
     entries = np.array(sorted(entries), dtype=np.int64).reshape(-1, 3)
     at, term, value = entries[:, 0], entries[:, 1], np.log1p(entries[:, 2])
-    tell = np.array([s for _, s in vocabulary.values()]) > 0
-    amount = np.bincount(at, weights=value * tell[term], minlength=len(y))
-    limits = np.quantile(amount[y == 1], [g / GRADES for g in range(1, GRADES)])
-    grade = np.where(y == 1, 1 + np.searchsorted(limits, amount, side="right"), 0)
-    beta, theta = fit_cumulative(at, term, value, grade, len(vocabulary))
+    beta, theta = fit_cumulative(at, term, value, grades(at, term, value, y, len(vocabulary)), len(vocabulary))
     theta = theta + np.log((everyone[0] / n0) / (everyone[1] / n1))
-    return Model({t: float(beta[k]) for t, (k, _) in vocabulary.items() if abs(beta[k]) > 1e-6}, tuple(float(t) for t in theta))
+    return Model({t: float(beta[k]) for t, k in vocabulary.items() if abs(beta[k]) > 1e-6}, tuple(float(t) for t in theta))
 
 
 def score_column(spark: SparkSession, model: Model, text: Column) -> Column:
