@@ -98,8 +98,13 @@ def test_prints_of_alike_sets_are_near(monkeypatch):
         whole = rnd.integers(0, 1 << 63, n + n // 4, dtype=np.uint64)
         sets += [np.sort(whole[:n]), np.sort(whole)]
     bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-    prints = np.frombuffer(b"".join(similar.wide_prints(np.concatenate(sets), bounds)), dtype="<u8").reshape(-1, 2)
-    far = np.bitwise_count(prints[::2] ^ prints[1::2]).sum(axis=1)
+    whole = similar.wide_prints(np.concatenate(sets), bounds)
+    words = np.ascontiguousarray(whole).view("<u8")
+    far = np.bitwise_count(words[::2, :2] ^ words[1::2, :2]).sum(axis=1)
     assert far.max() <= similar.RADIUS - 8
+    total = np.array([len(a) + len(b) for a, b in zip(sets[::2], sets[1::2], strict=True)])
+    assert similar.may_be_alike(words[::2], words[1::2], total).all()
+    other = np.roll(words[1::2], 1, axis=0)[400:]
+    assert similar.may_be_alike(words[::2][400:], other, total[400:]).mean() < 0.05
     monkeypatch.setattr(similar, "COUNTED", 7)
-    assert np.frombuffer(b"".join(similar.wide_prints(np.concatenate(sets), bounds)), dtype="<u8").reshape(-1, 2).tolist() == prints.tolist()
+    assert similar.wide_prints(np.concatenate(sets), bounds).tolist() == whole.tolist()
