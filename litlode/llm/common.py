@@ -56,13 +56,14 @@ def keep_least(df: DataFrame, found: DataFrame, id_col: str, text_col: str) -> D
     """One row of ``df`` for each component of ``found(doc_id, text_hash, component)``, which is materialised.
 
     The row with the least id stays, null ids last, and of rows that share an id the one with the least
-    text_hash, which is xxhash64 of the text. The rows to drop are broadcast only if they are few; only
-    rows that repeat a survivor are shuffled to leave one of them.
+    text_hash, which is xxhash64 of the text. Survivors are marked by a grouped maximum, combined before its
+    shuffle, so no task reads a component's rows, however many it has. The rows to drop are broadcast only if
+    they are few; only rows that repeat a survivor are shuffled to leave one of them.
     """
     order = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_hash")
-    first = found.groupBy("component").agg(F.min(order).alias("first"))
-    marked = found.join(first, "component").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
-    pairs = cut(marked.groupBy(F.col("doc_id").alias("__litlode_id"), F.col("text_hash").alias("__litlode_hash"), "stays").count())
+    first = found.groupBy("component").agg(F.min(order).alias("first")).select("first.doc_id", "first.text_hash", F.lit(0).alias("rows"), F.lit(True).alias("stays"))
+    marked = found.select("doc_id", "text_hash", F.lit(1).alias("rows"), F.lit(False).alias("stays")).union(first)
+    pairs = cut(marked.groupBy(F.col("doc_id").alias("__litlode_id"), F.col("text_hash").alias("__litlode_hash")).agg(F.sum("rows").alias("count"), F.max("stays").alias("stays")))
     same = df[id_col].eqNullSafe(F.col("__litlode_id")) & (F.xxhash64(df[text_col]) == F.col("__litlode_hash"))
     drop = pairs.filter("not stays").select("__litlode_id", "__litlode_hash")
     twice = pairs.filter("stays and count > 1").select("__litlode_id", "__litlode_hash")
