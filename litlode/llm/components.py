@@ -1,7 +1,9 @@
 """Connected components of an edge list by alternating large-star and small-star steps.
 
 Every step is a grouped minimum (combined before the shuffle), a join of that minimum
-back to the edges (Spark splits a hot node of such a join at run time) and a distinct.
+back to the edges and a distinct. Spark splits a hot node of that join at run time only where
+both sides come straight from a shuffle, so the join has a second key, told from the first, by
+which the minimum isn't dealt yet.
 No node's neighbours are ever gathered in one place and nothing goes to the driver but
 two numbers that tell whether a round has changed the edges.
 """
@@ -15,15 +17,21 @@ from pyspark.sql import functions as F
 from litlode.llm.common import cut
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges(a, b)`` with the ``m`` of their a."""
+    again = F.xxhash64("a").alias("again")
+    return edges.select("a", "b", again).join(least.select("a", "m", again), ["a", "again"]).drop("again")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (a, b) with a > b; each node points its larger (or smaller) neighbours at the least one."""
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        out = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        out = _with_least(both.filter("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        moved = edges.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = _with_least(edges, least).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         out = moved.union(least.select("a", F.col("m").alias("b")))
     return out.filter("a > b").distinct()
 
