@@ -43,7 +43,7 @@ LEAST_CHUNK, MOST_CHUNK = 64, 8192
 #: Bounds of a worker's stores: words, and bytes of encoded chunks, in each of two generations; seams known to agree.
 MOST_WORDS, MOST_STORE, MOST_AGREED = 150_000, 8 << 20, 50_000
 #: Bytes of text that are encoded, and sent on, at a time; bytes that are hashed at a time; longest word that is merged here.
-SLICE_BYTES, HASHED, PLAIN = 4 << 20, 1 << 17, 40
+SLICE_BYTES, HASHED, PLAIN = 2 << 20, 1 << 17, 40
 
 _GEAR = np.random.default_rng(20240501).integers(0, 1 << 63, 256, dtype=np.uint64)
 _BLANK, _ALNUM, _UPPER = (np.array([bytes([c]) in x for c in range(256)]) for x in ([b" ", b"\t", b"\n", b"\v", b"\f", b"\r"], [bytes([c]) for c in range(128) if chr(c).isalnum()], [bytes([c]) for c in range(65, 91)]))
