@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litlode.llm.bpe import encoder, text_slices
+from litlode.llm.bpe import SLICE_BYTES, encoder, text_slices
 from litlode.llm.common import cut, map_batches, small_side
 
 CAPACITY = 2048
@@ -111,13 +111,13 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
     return map_batches(ranked, run, f"{schema}, sequence_id long, offset long")
 
 
-def token_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(doc_id, piece, start, length, ids): each document's ids and ``end_id``, cut at the capacity; ids as little-endian 32-bit binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, step = encoder(path, decoding=False, agree=False), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for b in batches:
-            for at, _, data, offsets in text_slices(b, 1):
+            for at, _, data, offsets in text_slices(b, 1, slice_bytes):
                 rows, starts, parts = [], [], []
                 for k, (ids, _) in enumerate(enc.encode(data, offsets)):
                     ids += end
@@ -137,7 +137,7 @@ def ids_crc32() -> Column:
     return F.crc32("ids").alias("ids_crc32")
 
 
-def pack_documents(df: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Digest of the packing: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    narrow = cut(token_pieces(df, path, capacity=capacity).select("doc_id", "piece", "start", "length", ids_crc32()))
+def pack_documents(df: DataFrame, path: str, capacity: int = CAPACITY, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """Digest of the packing: doc_id, piece, start, length, ids_crc32, sequence_id, offset; ``slice_bytes`` of text are encoded at a time."""
+    narrow = cut(token_pieces(df, path, capacity=capacity, slice_bytes=slice_bytes).select("doc_id", "piece", "start", "length", ids_crc32()))
     return pack(narrow, ["doc_id", "piece", "start", "ids_crc32"], capacity)
