@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from litlode.llm import similar, simhash
@@ -68,6 +69,25 @@ def test_stage_drops_near_copies_of_the_given_table(spark):
     assert 5733 not in survivors(rows)
 
 
+def test_candidates_grow_with_the_rows(spark, monkeypatch):
+    """Passages whose families grow with the table: a sample of a fixed number of rows misses them, and each family pairs off."""
+    monkeypatch.setattr(similar, "SAMPLE_ROWS", 10)
+    rnd = random.Random(8)
+    passages = [" ".join(f"p{rnd.randrange(5000)}" for _ in range(40)) for _ in range(10)]
+    rows = [(" ".join([*(f"w{rnd.randrange(10**6)}" for _ in range(60)), passages[k % 10]]),) for k in range(600)]
+    df = spark.createDataFrame(rows, "text string").repartition(3)
+    found = similar.in_cells(similar.prefixes(df, *similar.frequent(df, len(rows)))).withColumn("root", F.col("class"))
+    assert similar.candidates(found).count() <= len(rows)
+
+
+def test_frequent_shingles_are_bounded(spark, monkeypatch):
+    df = spark.createDataFrame([("a b c d e",)] * 9 + [("b c d e f",)] * 7 + [("c d e f g",)] * 7 + [("one",)] * 2, "text string")
+    for bound, counts in ((9, [7, 7, 9]), (2, [9]), (0, [])):
+        monkeypatch.setattr(similar, "FREQUENT", bound)
+        h, n = similar.frequent(df, 25)
+        assert sorted(n.tolist()) == counts and (np.sort(h) == h).all()
+
+
 def test_odd_rows(spark, empty):
     assert similar.keep_first(empty).count() == 0
     rows = [(3, "b b b"), (5, "a a a"), (5, "b b b"), (7, "a a a"), (None, "c c c"), (None, "c c c"), (8, "d"), (8, "d"), (None, None), (9, "")]
